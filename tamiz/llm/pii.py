@@ -94,6 +94,8 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     if kind in ("email", "phone", "ident") or kind == "name" and len(text[a:b].split(" ")[-1]) > 2:
         while a < b and text[b - 1] == ".":
             b -= 1
+    if kind == "address" and re.search(r"\b(?:Rd|St|Ave|Ln|Dr)$", text[a:b]) and text[b : b + 1] == ".":
+        b += 1
     v = text[a:b]
     if v.startswith("(") and ")" not in v:
         a, v = a + 1, v[1:]

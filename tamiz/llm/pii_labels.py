@@ -18,7 +18,7 @@ EMAIL = rf"[A-Za-z0-9][\w.+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+"
 PHONE = (
     r"(?<![\w.+-])(?:\+\d{1,3} (?:\(\d{1,4}\) ?)?\d[\d .-]{5,}\d"
     r"|\(\d{2,4}\) 9?\d{3,4}[- ]\d{4}|(?:011 15 |011 )?5550[- ]\d{4}|54115550\d{4}|0800-555-\d{4}"
-    r"|(?:\d{3}[-.])?555[-.]\d{4}|020 7946 \d{4}|01([ .])99\1\d\d\1\d\d\1\d\d)"
+    r"|(?:\d{3}[-.])?555[-.]\d{4}|020 7946 \d{4}|0199 00 \d{4}|01([ .])99\1\d\d\1\d\d\1\d\d)"
     r"(?: (?:ext|int)\. ?\d+| (?:ramal|poste|interno) \d+)?(?!\w)"
 )
 IDENT = (
@@ -27,6 +27,10 @@ IDENT = (
     r"|\bsécurité sociale|\bnir|\bnif|\bnuss|\bni number)):? "
     r"([A-Z]{2}(?: \d\d){3} [A-Z]|[A-Z0-9][A-Z0-9]*(?:[ .-][A-Z0-9]*\d[A-Z0-9]*)*(?:-[A-Z0-9]+)?)(?!\w)"
 )
+BARE_IDENT = (
+    r"(?<![\w.-])(?:99\.\d{3}\.\d{3}(?:-[A-Z0-9])?|99 \d{3} \d{3}|\d\d-99\d{6}-\d|X-00\d{5}-Q|ZZX\d{6}|99ZZ\d{5}|9999\d{6}ZZ"
+    r"|QX-\d{3}-\d{3}-\d|9\d\d-\d\d-\d{4}|999\.\d{3}\.\d{3}-\d\d|QQ(?: \d\d){3} [A-Z])(?![\w-])"
+)
 _CAP = r"[A-ZÀ-Ý][\w'’]+"
 ADDRESS = (
     rf"(?:\b(?:[Cc]alle|[Aa]venida|[Aa]v\.|[Bb]ulevar|[Pp]je\.|[Pp]asaje|[Rr]ua|[Tt]ravessa|[Aa]lameda|[Pp]raça)|\bC/) "
@@ -42,13 +46,13 @@ _SUR = (
     r"(?:ovar|etti|ikov|ero|andi|ulle|ena|mark|sson|irier|alba|ueda|iego|inho|uoz|estri))\b"
 )
 _SURS = rf"(?=[A-Z]){_SUR}(?:[ -](?=[A-Z]){_SUR})?"
-_GIVEN = r"(?:[A-ZÀ-Ý]\w+|[A-Z]\.)"
+_GIVEN = r"(?:[A-ZÀ-Ý]\w+|[A-ZÀ-Ý]\.)"
 _TITLE = r"(?:Dra?|Lic|Sra?|Ing|Prof|prof|Mrs?|Ms|Mme|M)\.? "
 _LEAD = r"(?:Seg[uú]n|According to|Selon|Segundo|Conforme|Saludos|Regards|Cordialement|Abraços)"
 NAME = rf"(?:{_SURS}, [A-ZÀ-Ý]\w+|(?:(?!{_TITLE}|{_LEAD}\b|{_SUR})(?<!\w){_GIVEN} ){{0,2}}\b{_SURS})"
 # --------------------------------------------------------------------------------------------
 
-_RULES = [(k, re.compile(p)) for k, p in (("email", EMAIL), ("address", ADDRESS), ("ident", IDENT), ("phone", PHONE), ("name", NAME))]
+_RULES = [(k, re.compile(p)) for k, p in (("email", EMAIL), ("address", ADDRESS), ("ident", IDENT), ("ident", BARE_IDENT), ("phone", PHONE), ("name", NAME))]
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:
@@ -56,7 +60,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     for kind, rx in _RULES:
         for m in rx.finditer(text):
-            a, b = m.span(1) if kind == "ident" else m.span()
+            a, b = m.span(1) if kind == "ident" and rx.groups else m.span()
             if all(b <= x or a >= y for x, y, _ in out):
                 out.append((a, b, kind))
     return sorted(out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.llm import ngrams, pii, topn, weights
+from tamiz.llm import mixing, ngrams, pii, tokenizer, topn, weights
 from tamiz.session import table
 
 
@@ -41,6 +41,22 @@ def _p6_scores(spark: SparkSession, d: str) -> DataFrame:
     return weights.scores(table(spark, d, "posting_chunk"))
 
 
+def _p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.encoded(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def _p8_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", tokenizer.token_count(F.col("text")).alias("n_tokens"))
+
+
+def _p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "source_weights"))
+
+
+def _p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(_p9_mixture(spark, d), table(spark, d, "source_weights"))
+
+
 def _p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.found(table(spark, d, "documents"))
 
@@ -57,6 +73,10 @@ QUERIES = {
     "p5_ranked": _p5_ranked,
     "p6_found": _p6_found,
     "p6_scores": _p6_scores,
+    "p8_ids": _p8_ids,
+    "p8_token_counts": _p8_token_counts,
+    "p9_mixture": _p9_mixture,
+    "p9_shares": _p9_shares,
     "p10_found": _p10_found,
     "p10_redacted": _p10_redacted,
 }
