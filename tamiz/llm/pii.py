@@ -182,7 +182,7 @@ def _tagger(raw: bytes):
             yield pa.array(rows, _RESULT)
 
     tag.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf("pii array<struct<kind:string,begin:int,end:int,pii_text:string>>, redacted string")(tag)
+    return F.arrow_udf("pii array<struct<kind:string,begin:int,end:int,pii_text:string>>, redacted string")(tag).asNondeterministic()  # else it is evaluated once more in a filter
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
