@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.llm import mixing, ngrams, pii, tokenizer, topn, weights
+from tamiz.llm import boilerplate, mixing, ngrams, pii, tokenizer, topn, weights
 from tamiz.session import table
 
 
+def _p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.found(table(spark, d, "read_corpus"))
+
+
+def _p1_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_bodies(table(spark, d, "read_corpus"))
+
+
 def _p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "posting_chunk")
     counts = ngrams.term_counts(rows)
@@ -66,6 +74,8 @@ def _p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": _p1_found,
+    "p1_bodies": _p1_bodies,
     "p3_found": _p3_found,
     "p3_term_counts": _p3_term_counts,
     "p3_phrase_counts": _p3_phrase_counts,
