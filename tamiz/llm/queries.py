@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.llm import boilerplate, mixing, ngrams, pii, tokenizer, topn, weights
-from tamiz.session import table
+from tamiz.llm import boilerplate, mixing, neardup, ngrams, pii, tokenizer, topn, weights
+from tamiz.session import checkpointed, table
 
 
 def _p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,14 @@ def _p3_phrase_counts(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.array_join("gram", " ").alias("gram"), "cf", "df")
 
 
+def _p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.found(table(spark, d, "read_corpus"))
+
+
+def _p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(checkpointed(neardup.page_sets(table(spark, d, "read_corpus"))))
+
+
 def _p5_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(table(spark, d, "run_results").where("qid is not null"), ["qid", "model"], "docno", "score").select("qid", "model", "docno")
 
@@ -79,6 +87,8 @@ QUERIES = {
     "p3_found": _p3_found,
     "p3_term_counts": _p3_term_counts,
     "p3_phrase_counts": _p3_phrase_counts,
+    "p4_found": _p4_found,
+    "p4_groups": _p4_groups,
     "p5_found": _p5_found,
     "p5_ranked": _p5_ranked,
     "p6_found": _p6_found,
