@@ -2,21 +2,23 @@
 
 The named method - pivots, Voronoi regions, triangle-inequality windows - is kept as far as it prunes.
 Document pivots do not: distances between unrelated pages lie close together (0.8 to 0.97), so that a
-window of width 0.5 around any of them holds nearly every document (figures in the README).  Two
-kinds of pivot do prune and make the regions here:
-
-* single shingles.  A document belongs to the regions of the shingles in its prefix (rarest first)
-  and to no others; the prefix is as long as a partner of similarity ``threshold`` can require.
-* the empty set, whose triangle inequality gives a window of sizes: ``|x| / |y| >= threshold``.
-
-Shingles are dealt to ``groups`` groups.  Two sets of the wanted similarity share at least ``spare``
-shingles of their prefixes (each longer by ``spare``), hence at least ``ceil(spare / groups)`` in
-one of the groups; a group joins the documents' shingles that fell to it, counts common ones and
-keeps pairs that reach this number.  What is kept is compared in full.  Groups are split by
-blocks of documents (all pairs of blocks) when there are more documents than ``BLOCK``.  Nothing is
-sampled and no list is capped, so every pair is found; orders and counts decide the cost only.
-
-Records with equal shingle sets form one class; classes are joined, not records.
+window of width 0.5 around any of them holds nearly every document (figures in the README).  The regions here are
+projections of the metric space, joined on their own and exactly:
+
+* Shingles are dealt to ``groups`` groups.  If J(x, y) >= t, then J >= t holds for the parts of x and
+  y in at least one group (the bounds on common shingles add up over groups); so each region
+  joins parts, and what no region finds cannot be a pair.
+* Inside a region single shingles are the pivots: a part belongs to the cells of its prefix, rarest
+  shingles first, as long as a partner of similarity t can require, and ``COMMON`` longer, for which
+  a pair must share that many cells.  The empty set's triangle inequality gives a window of sizes.
+* Parts that pass are compared in full; pairs of records that pass in some region are compared over all
+  regions.
+
+Regions are split by blocks of documents (all pairs of blocks) when there are more documents than
+``BLOCK``.  Nothing is sampled and no list is capped, so every pair is found; orders and counts decide
+the cost only.  Records with equal shingle sets form one class; classes are joined, not records.
+
+Shingles are 48-bit hashes; two of one record collide with a chance under 1e-9.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ from tamiz.llm import boilerplate as bp
 from tamiz.session import checkpointed
 
 WORDS, THRESHOLD = 3, 0.5
-GROUPS, SPARE, BLOCK = 12, 24, 250_000
-CELLS, BITS = 1 << 20, 1 << 24  # of the count sketch and of the filter of wanted records: fixed sizes
+GROUPS, COMMON, BLOCK = 12, 2, 250_000
+CHUNK = 8192  # documents counted at once in a region: memory, not results
+CELLS = 1 << 20  # of the count sketch, a fixed size
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -45,15 +48,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def shingles(bodies: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(record index, shingle hash), sorted and distinct: runs of k words, lower-cased letters and digits."""
+def shingles(lines: pa.Array, page: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(page, shingle hash), sorted and distinct: runs of k words read across lines, lower-cased letters and digits."""
     import xxhash
 
-    w = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(bodies.cast(pa.large_string()), "")), r"[^\p{L}\p{N}]+")
+    w = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(lines.cast(pa.large_string()), "")), r"[^\p{L}\p{N}]+")
     coded = w.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
     code = coded.indices.to_numpy(zero_copy_only=False)
-    doc = np.repeat(np.arange(len(bodies)), w.value_lengths().to_numpy(zero_copy_only=False))
+    doc = np.repeat(page, w.value_lengths().to_numpy(zero_copy_only=False))
     full = np.fromiter((x != "" for x in words), bool, len(words))[code] if len(words) else np.zeros(0, bool)
     code, doc = code[full], doc[full]  # splitting leaves empty strings at the ends
     if len(code) < k:
@@ -64,6 +67,7 @@ def shingles(bodies: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
         s = np.zeros(n, np.uint64)
         for i in range(k):
             s = _mixed(s * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
+        s >>= np.uint64(16)
     keep = doc[:n] == doc[k - 1 :]
     d, s = doc[:n][keep], s[keep]
     o = np.lexsort((s, d))
@@ -72,16 +76,29 @@ def shingles(bodies: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return d[first], s[first]
 
 
-def _set_rows(key: pa.Array, bodies: pa.Array, k: int) -> pa.RecordBatch:
-    d, s = shingles(bodies, k)
-    size = np.bincount(d, minlength=len(bodies))
+def _packed(h: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Six bytes a shingle."""
+    data = np.ascontiguousarray(h.view(np.uint16).reshape(-1, 4)[:, :3])
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 6).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _hashes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all rows end to end, and how many each row has."""
+    three, n = _blob(a, np.uint16)
+    out = np.zeros((len(three) // 3, 4), np.uint16)
+    out[:, :3] = three.reshape(-1, 3)
+    return out.view(np.uint64).reshape(-1), n // 3
+
+
+def _set_rows(key: pa.Array, lines: pa.Array, page: np.ndarray, k: int) -> pa.RecordBatch:
+    d, s = shingles(lines, page, k)
+    size = np.bincount(d, minlength=len(key))
     ends = np.r_[0, np.cumsum(size)]
     with np.errstate(over="ignore"):
         sums = np.r_[np.uint64(0), np.cumsum(_mixed(s + np.uint64(1)), dtype=np.uint64)]
         sig = _mixed(sums[ends[1:]] - sums[ends[:-1]])
     some = np.flatnonzero(size)
-    data = pa.py_buffer(s.tobytes())
-    blob = pa.Array.from_buffers(pa.binary(), len(bodies), [None, pa.py_buffer((ends * 8).astype(np.int32).tobytes()), data])
+    blob = _packed(s, ends)
     return pa.record_batch([key.take(pa.array(some)), pa.array(sig[some].view(np.int64)), pa.array(size[some].astype(np.int32)), blob.take(pa.array(some))], names=["rec_no", "sig", "size", "hashes"])
 
 
@@ -94,7 +111,9 @@ def page_sets(pages: DataFrame, key: str = "rec_no", text: str = "text", k: int
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                yield _set_rows(part.column(0), pa.array(bp.bodies(model, part.column(1)), pa.large_string()), k)
+                lines, cut = bp.furniture(model, part.column(1))
+                kept = lines.at[~cut]
+                yield _set_rows(part.column(0), lines.raw.take(pa.array(kept)), lines.page_all[kept], k)
 
     rows = pages.select(F.col(key).cast("bigint").alias("rec_no"), F.col(text).alias("text")).where(F.length("text") > 0)
     return rows.mapInArrow(run, "rec_no bigint, sig bigint, size int, hashes binary")
@@ -107,7 +126,7 @@ def text_sets(texts: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                yield _set_rows(part.column(0), part.column(1), k)
+                yield _set_rows(part.column(0), part.column(1), np.arange(part.num_rows), k)
 
     rows = texts.select(F.col(key).cast("bigint").alias("rec_no"), F.col(text).alias("text")).where(F.length("text") > 0)
     return rows.mapInArrow(run, "rec_no bigint, sig bigint, size int, hashes binary")
@@ -124,8 +143,8 @@ def _blob(a: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     return data.view(dtype), np.diff(off) // np.dtype(dtype).itemsize
 
 
-def _summed(rows: DataFrame, make, cells: int, merge: str) -> np.ndarray:
-    """A fixed-size array made by each partition and merged by ``sum`` or ``or`` in blocks."""
+def _summed(rows: DataFrame, make, cells: int) -> np.ndarray:
+    """A fixed-size array made by each partition, added up in blocks."""
     block = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +160,7 @@ def _summed(rows: DataFrame, make, cells: int, merge: str) -> np.ndarray:
         for batch in parts:
             for p in batch.column("part"):
                 x = np.frombuffer(p.as_py(), np.uint8)
-                out = x.astype(np.uint32) if out is None else out + x if merge == "sum" else out | x
+                out = x.astype(np.uint32) if out is None else out + x
         yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(out, 0xFFFFFFFF).astype(np.uint32).tobytes()])], names=["block", "part"])
 
     def joined(key, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,146 +178,154 @@ def rarity(sets: DataFrame) -> np.ndarray:
     """For each cell of a count sketch over all sets, 0 for a single use, else four times the logarithm of the uses."""
 
     def count(total: np.ndarray, batch: pa.RecordBatch) -> None:
-        h, _ = _blob(batch.column("hashes"), np.uint64)
-        n = np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=CELLS)
+        h, _ = _hashes(batch.column("hashes"))
+        n = np.bincount((h >> np.uint64(28)).astype(np.int64), minlength=CELLS)
         np.copyto(total, np.minimum(total.astype(np.int64) + n, 255).astype(np.uint8))
 
-    uses = _summed(sets.select("hashes"), count, CELLS, "sum")
+    uses = _summed(sets.select("hashes"), count, CELLS)
     return np.minimum(np.ceil(4 * np.log2(np.maximum(uses, 1))), 255).astype(np.uint8)
 
 
-def _need(a, b, t: float):
-    """Fewest common shingles of sets of a and b shingles at similarity t."""
-    return np.ceil((a + b) * (t / (1 + t)) - 1e-9).astype(np.int64)
-
+def _emitter(rank: np.ndarray, groups: int, blocks: int):
+    """One row for each document and group: the shingles of the group, rarest first."""
 
-def _emitter(rank: np.ndarray, t: float, groups: int, spare: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, n = _blob(batch.column("hashes"), np.uint64)
+            h, n = _hashes(batch.column("hashes"))
             doc = np.repeat(np.arange(len(n)), n)
-            r = rank[(h >> np.uint64(44)).astype(np.int64)]
-            o = np.lexsort((h, r, doc))
-            h, r, doc = h[o], r[o], doc[o]
-            pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            # the longest prefix that any partner asks for, and no shingle of a single record
-            take = (pos < (n - np.ceil(n * t - 1e-9) + spare)[doc]) & (r > 0)
-            h, doc, pos = h[take], doc[take], pos[take]
             g = (h % np.uint64(groups)).astype(np.int64)
-            o = np.lexsort((pos, doc, g))
-            h, doc, pos, g = h[o], doc[o], pos[o], g[o]
-            cell = g * len(n) + doc
+            o = np.lexsort((h, rank[(h >> np.uint64(28)).astype(np.int64)], doc, g))
+            h, cell = h[o], (g * len(n) + doc)[o]
             begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
-            count = np.diff(np.r_[begin, len(cell)])
-            packed = np.empty((len(h), 2), np.uint32)
-            packed[:, 0], packed[:, 1] = (h >> np.uint64(8)).astype(np.uint32), pos
-            blob = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((np.r_[0, np.cumsum(count)] * 8).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
-            row, group = doc[begin], g[begin]
-            sig = batch.column("sig").to_numpy(zero_copy_only=False)
-            mine = (_mixed(sig.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)[row]
+            blob = _packed(h, np.r_[begin, len(h)])
+            row, group = cell[begin] % len(n), cell[begin] // len(n)
+            mine = _block(batch.column("sig").to_numpy(zero_copy_only=False), blocks)[row]
+            rest = [batch.column(c).take(pa.array(row)) for c in ("rec_no", "sig", "size")]
             for other in range(blocks):
                 region = (group * blocks + np.minimum(mine, other)) * blocks + np.maximum(mine, other)
-                yield pa.record_batch([pa.array(region), batch.column("rec_no").take(pa.array(row)), batch.column("sig").take(pa.array(row)), batch.column("size").take(pa.array(row)), blob], names=["region", "rec_no", "sig", "size", "prefix"])
+                yield pa.record_batch([pa.array(region), *rest, blob], names=["region", "rec_no", "sig", "size", "part"])
 
     return run
 
 
-def region_pairs(sig: np.ndarray, rec: np.ndarray, size: np.ndarray, token: np.ndarray, pos: np.ndarray, count: np.ndarray, t: float, groups: int, spare: int, cross: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of documents of one region that share enough shingles of it.  ``cross``: block of each document; only pairs across blocks count."""
-    doc = np.repeat(np.arange(len(rec)), count)
-    o = np.argsort(token, kind="stable")
-    token, doc, pos = token[o], doc[o], pos[o].astype(np.int32)
-    z = size[doc].astype(np.int32)
-    n, keys = len(token), []
-    at = np.arange(n - 1)
-    d, share = 1, np.float32(t / (1 + t))
-    while len(at):
-        at = at[: np.searchsorted(at, n - d)]
-        at = at[token[at] == token[at + d]]
-        if not len(at):
-            break
-        b = at + d
-        za, zb, pa_, pb = z[at], z[b], pos[at], pos[b]
-        low = (za + zb) * share - np.float32(1e-3)  # a little under the fewest common ones
-        ok = (pa_ < za - low + spare) & (pb < zb - low + spare) & (za * np.float32(t) <= zb + 1e-3) & (zb * np.float32(t) <= za + 1e-3)
-        i, j = doc[at[ok]], doc[b[ok]]
-        if cross is not None:
-            k = cross[i] != cross[j]
-            i, j = i[k], j[k]
-        if len(i):
-            keys.append(np.minimum(i, j).astype(np.int64) * len(rec) + np.maximum(i, j))
-        d += 1
-    if not keys:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    pair, n = np.unique(np.concatenate(keys), return_counts=True)
-    a, b = pair // len(rec), pair % len(rec)
-    need = _need(size[a].astype(np.int64), size[b].astype(np.int64), t)
-    enough = n >= -(-np.minimum(need, spare) // groups)
-    a, b = a[enough], b[enough]
-    return np.minimum(rec[a], rec[b]), np.maximum(rec[a], rec[b])
-
-
-def _joiner(t: float, groups: int, spare: int, blocks: int):
-    def run(key, table: pa.Table) -> pa.Table:
+def _block(sig: np.ndarray, blocks: int) -> np.ndarray:
+    return (_mixed(sig.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+
+
+class Region:
+    """The parts of one region, one for each class."""
+
+    def __init__(self, table: pa.Table):
         sig, rec, size = (table.column(c).to_numpy() for c in ("sig", "rec_no", "size"))
-        packed, count = _blob(table.column("prefix"), np.uint32)
+        h, n = _hashes(table.column("part"))
         o = np.lexsort((rec, sig))
-        one = o[np.r_[True, sig[o][1:] != sig[o][:-1]]]  # the first record stands for its class
-        start = np.cumsum(count // 2) - count // 2
-        n = count[one] // 2
-        flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[one], n)
-        pairs = packed.reshape(-1, 2)[flat]
-        region = int(key[0].as_py())
-        cross = (_mixed(sig[one].view(np.uint64)) % np.uint64(blocks)).astype(np.int64) if region % blocks != region // blocks % blocks else None
-        a, b = region_pairs(sig[one], rec[one], size[one], pairs[:, 0], pairs[:, 1], n, t, groups, spare, cross)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        one = o[np.r_[True, sig[o][1:] != sig[o][:-1]]] if len(o) else o  # the first record stands for its class
+        one = one[np.argsort(rec[one], kind="stable")]
+        start = np.cumsum(n) - n
+        self.sig, self.rec, self.size, self.n = sig[one], rec[one], size[one].astype(np.int64), n[one]
+        self.begin = np.cumsum(self.n) - self.n
+        self.pos = np.arange(int(self.n.sum())) - np.repeat(self.begin, self.n)
+        h = h[self.pos + np.repeat(start[one], self.n)]
+        self.doc = np.repeat(np.arange(len(one)), self.n)
+        distinct, self.token = np.unique(h, return_inverse=True)
+        self.width = max(1, len(distinct))
+        self.keys = None
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Shingles common to the parts a[i] and b[i]."""
+        if self.keys is None:
+            self.keys = np.sort(self.doc * self.width + self.token)
+        out = np.zeros(len(a), np.int64)
+        for at in range(0, len(a), 200_000):  # bounds the memory, not the work
+            x, y = a[at : at + 200_000], b[at : at + 200_000]
+            n = self.n[x]
+            flat = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[x], n)
+            want = np.repeat(y, n) * self.width + self.token[flat]
+            hit = self.keys[np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)] == want
+            out[at : at + 200_000] = np.bincount(np.repeat(np.arange(len(x)), n), weights=hit, minlength=len(x))
+        return out
+
+    def pairs(self, t: float, least: int, cross: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Index pairs whose parts have similarity t; ``cross``: only between different values of it."""
+        share = t / (1 + t)
+        take = self.pos < (self.n - np.ceil(self.n * t - 1e-9) + least)[self.doc]
+        doc, token, pos = self.doc[take], self.token[take], self.pos[take]
+        o = np.lexsort((doc, self.n[doc], token))
+        doc, token, pos = doc[o].astype(np.int32), token[o], pos[o].astype(np.int32)
+        z = self.n[doc].astype(np.int32)
+        room = (z - pos + least).astype(np.float32)  # a posting counts while the fewest common shingles stay below
+        # lists run by size and document, so the earlier of two postings is the smaller part's: its first third is enough
+        core = np.flatnonzero(room > 2 * share * z - 1e-3)
+        found = [np.empty((2, 0), np.int64)]
+        for begin in range(0, len(self.rec), CHUNK):  # all pairs of one smaller part are counted together
+            at = core[(doc[core] >= begin) & (doc[core] < begin + CHUNK)]
+            keys, d = [], 1
+            while len(at):
+                at = at[: np.searchsorted(at, len(token) - d)]
+                b = at + d
+                go = (token[at] == token[b]) & (z[b] * np.float32(t) <= z[at] + np.float32(1e-3))
+                at, b = at[go], b[go]
+                low = (z[at] + z[b]) * np.float32(share) - np.float32(1e-3)
+                ok = np.flatnonzero((room[at] > low) & (room[b] > low))
+                i, j = doc[at[ok]], doc[b[ok]]
+                if cross is not None:
+                    k = cross[i] != cross[j]
+                    i, j = i[k], j[k]
+                if len(i):
+                    keys.append(i.astype(np.int64) * len(self.rec) + j)
+                d += 1
+            if keys:
+                pair = np.sort(np.concatenate(keys))
+                first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+                count, pair = np.diff(np.r_[first, len(pair)]), pair[first]
+                x, y = pair // len(self.rec), pair % len(self.rec)
+                need = np.ceil((self.n[x] + self.n[y]) * share - 1e-9)
+                enough = count >= np.minimum(need, least)
+                x, y, need = x[enough], y[enough], need[enough]
+                same = self.common(x, y) >= need
+                found.append(np.stack([np.minimum(x, y)[same], np.maximum(x, y)[same]]))
+        x, y = np.concatenate(found, 1)
+        return x, y
+
+
+def _joiner(t: float, least: int, blocks: int):
+    def run(key, table: pa.Table) -> pa.Table:
+        r, region = Region(table), int(key[0].as_py())
+        low, high = region // blocks % blocks, region % blocks
+        a, b = r.pairs(t, least, _block(r.sig, blocks) if low != high else None)
+        return pa.table({"a": pa.array(r.rec[a], pa.int64()), "b": pa.array(r.rec[b], pa.int64()), "blocks": pa.array(np.full(len(a), low * blocks + high, np.int64))})
 
     run.__annotations__ = {"key": tuple[pa.Scalar, ...], "table": pa.Table, "return": pa.Table}
     return run
 
 
-def _wanted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The sets of records in pairs, found by a filter of fixed size; it may let others pass."""
+def _counter():
+    def run(key, table: pa.Table, pairs: pa.Table) -> pa.Table:
+        if not pairs.num_rows or not table.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "size": pa.array([], pa.int32())})
+        r = Region(table)
+        a, b = (pairs.column(c).to_numpy() for c in ("a", "b"))
+        i, j = (np.minimum(np.searchsorted(r.rec, x), len(r.rec) - 1) for x in (a, b))
+        here = (r.rec[i] == a) & (r.rec[j] == b)  # a record may have no shingle in this group
+        i, j = i[here], j[here]
+        return pa.table({"a": pa.array(a[here]), "b": pa.array(b[here]), "n": pa.array(r.common(i, j).astype(np.int32)), "size": pa.array((r.size[i] + r.size[j]).astype(np.int32))})
 
-    def mark(total: np.ndarray, batch: pa.RecordBatch) -> None:
-        for c in ("a", "b"):
-            h = _mixed(batch.column(c).to_numpy(zero_copy_only=False).astype(np.uint64)) % np.uint64(BITS)
-            np.bitwise_or.at(total, (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
-
-    bits = _summed(pairs.select("a", "b"), mark, BITS // 8, "or").astype(np.uint8)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = _mixed(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)) % np.uint64(BITS)
-            hit = (bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1
-            if hit.any():
-                yield batch.filter(pa.array(hit.astype(bool)))
-
-    return sets.select("rec_no", "hashes").mapInArrow(pick, "rec_no bigint, hashes binary")
-
-
-def _similarity():
-    def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        a, n = _blob(left, np.uint64)
-        b, m = _blob(right, np.uint64)
-        i, j = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(m)]
-        common = np.fromiter((len(np.intersect1d(a[i[k] : i[k + 1]], b[j[k] : j[k + 1]], True)) for k in range(len(n))), np.int64, len(n))
-        return pa.array(common / np.maximum(n + m - common, 1))
-
-    run.__annotations__ = {"left": pa.Array, "right": pa.Array, "return": pa.Array}
-    return F.arrow_udf("double")(run)
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "table": pa.Table, "pairs": pa.Table, "return": pa.Table}
+    return run
 
 
-def class_pairs(sets: DataFrame, t: float = THRESHOLD, groups: int = GROUPS, spare: int = SPARE, block: int = BLOCK) -> DataFrame:
+def class_pairs(sets: DataFrame, t: float = THRESHOLD, groups: int = GROUPS, least: int = COMMON, block: int = BLOCK) -> DataFrame:
     """(a, b, similarity): pairs a < b of class representatives (the smallest record of a class); ``sets`` is read several times."""
     rank = rarity(sets)
     blocks = max(1, math.ceil(sets.count() / block))
-    rows = sets.mapInArrow(_emitter(rank, t, groups, spare, blocks), "region bigint, rec_no bigint, sig bigint, size int, prefix binary")
-    join = _joiner(t, groups, spare, blocks)
-    found = checkpointed(rows.groupBy("region").applyInArrow(join, "a bigint, b bigint").distinct())
-    some = _wanted(found, sets)
-    both = found.join(some.select(F.col("rec_no").alias("a"), F.col("hashes").alias("x")), "a").join(some.select(F.col("rec_no").alias("b"), F.col("hashes").alias("y")), "b")
-    return both.select("a", "b", _similarity()("x", "y").alias("similarity")).where(F.col("similarity") >= t)
+    rows = sets.mapInArrow(_emitter(rank, groups, blocks), "region bigint, rec_no bigint, sig bigint, size int, part binary")
+    parts = rows.repartition(F.col("region"))
+    near = parts.groupBy("region").applyInArrow(_joiner(t, least, blocks), "a bigint, b bigint, blocks bigint").distinct()
+    everywhere = near.select("a", "b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: g.cast("bigint") * blocks * blocks + F.col("blocks"))).alias("region"))
+    counts = parts.groupBy("region").cogroup(everywhere.groupBy("region")).applyInArrow(_counter(), "a bigint, b bigint, n int, size int")
+    total = counts.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+    similarity = F.col("n") / (F.col("size") - F.col("n"))
+    return total.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= t)
 
 
 def classes(sets: DataFrame) -> DataFrame:
