@@ -36,7 +36,7 @@ from tamiz.llm import boilerplate as bp
 from tamiz.session import checkpointed
 
 WORDS, THRESHOLD = 3, 0.5
-GROUPS, COMMON, BLOCK = 12, 2, 250_000
+GROUPS, COMMON, BLOCK = 8, 2, 250_000
 CHUNK = 8192  # documents counted at once in a region: memory, not results
 CELLS = 1 << 20  # of the count sketch, a fixed size
 
@@ -252,28 +252,31 @@ class Region:
         doc, token, pos = self.doc[take], self.token[take], self.pos[take]
         o = np.lexsort((doc, self.n[doc], token))
         doc, token, pos = doc[o].astype(np.int32), token[o], pos[o].astype(np.int32)
-        z = self.n[doc].astype(np.int32)
-        room = (z - pos + least).astype(np.float32)  # a posting counts while the fewest common shingles stay below
-        # lists run by size and document, so the earlier of two postings is the smaller part's: its first third is enough
-        core = np.flatnonzero(room > 2 * share * z - 1e-3)
+        z = self.n[doc]
+        room = z - pos + least  # a posting counts while the fewest common shingles stay below this
+        reach = (room + 1e-3) / share - z  # largest partner that the posting can count with
+        # lists run by size and document: partners of a posting are the run after it up to a size
+        span = int(z.max(initial=0)) + 2
+        most = np.floor(np.minimum(reach, (z + 1e-3) / t)).astype(np.int64)
+        stop = np.searchsorted(token * span + z, token * span + np.minimum(most, span - 1), "right") - np.arange(len(z)) - 1
+        core = np.flatnonzero((stop > 0) & (most >= z))
+        low = reach.astype(np.float32)
         found = [np.empty((2, 0), np.int64)]
         for begin in range(0, len(self.rec), CHUNK):  # all pairs of one smaller part are counted together
             at = core[(doc[core] >= begin) & (doc[core] < begin + CHUNK)]
-            keys, d = [], 1
-            while len(at):
-                at = at[: np.searchsorted(at, len(token) - d)]
-                b = at + d
-                go = (token[at] == token[b]) & (z[b] * np.float32(t) <= z[at] + np.float32(1e-3))
-                at, b = at[go], b[go]
-                low = (z[at] + z[b]) * np.float32(share) - np.float32(1e-3)
-                ok = np.flatnonzero((room[at] > low) & (room[b] > low))
-                i, j = doc[at[ok]], doc[b[ok]]
+            at = at[np.argsort(-stop[at], kind="stable")].astype(np.int32)
+            more, size, first_of = -stop[at], z[at].astype(np.float32), doc[at]
+            keys, d = [], np.int32(1)
+            while (m := int(np.searchsorted(more, -d, "right"))) > 0:
+                b = at[:m] + d
+                ok = np.flatnonzero(low[b] >= size[:m])
+                i, j = first_of[ok], doc[b[ok]]
                 if cross is not None:
                     k = cross[i] != cross[j]
                     i, j = i[k], j[k]
                 if len(i):
                     keys.append(i.astype(np.int64) * len(self.rec) + j)
-                d += 1
+                d += np.int32(1)
             if keys:
                 pair = np.sort(np.concatenate(keys))
                 first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
