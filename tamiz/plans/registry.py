@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.plans import data_queries, lexical_queries, search_queries
+from tamiz.plans import data_queries, graph_queries, lexical_queries, search_queries
 
 FLAGSHIP = "tfidf_topk"
-_MODULES = [search_queries, lexical_queries, data_queries]
+_MODULES = [search_queries, lexical_queries, graph_queries, data_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
