@@ -41,7 +41,7 @@ def trec(files: DataFrame, keep_docno: bool = False) -> DataFrame:
     no = F.nullif(F.trim(F.regexp_extract("b", r"(?is)<DOCNO>(.*?)</DOCNO>", 1)), F.lit(""))
     if keep_docno:
         return docs.select(no.alias("docno"), F.regexp_replace("b", r"<[^>]+>", " ").alias("text"))
-    return docs.select(no.alias("docno"), F.trim(F.regexp_replace("b", r"(?is)<DOCNO>.*?</DOCNO>", "")).alias("text")).where("docno is not null")
+    return docs.select(no.alias("docno"), F.regexp_replace(F.regexp_replace("b", r"(?is)<DOCNO>.*?</DOCNO>", ""), r"^\s+|\s+$", "").alias("text")).where("docno is not null")
 
 
 def topics(files: DataFrame, most: int | None = None) -> DataFrame:
