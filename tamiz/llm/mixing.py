@@ -82,8 +82,10 @@ def schedule(p: DataFrame, block: int = BLOCK) -> DataFrame:
     i = n.where("n > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / 4096))).alias("stretch"), "n")
     i = i.repartition(max(2, spark.sparkContext.defaultParallelism), "stretch").select("stretch", "n", F.explode(F.sequence(F.col("stretch") * 4096, F.least(F.col("stretch") * 4096 + 4095, F.col("n") - 1))).alias("slot"))
     point = (F.col("slot") + 1) * F.lit(GOLDEN) % 1.0
-    # as many comparisons as sources for each slot; the sources' table is bounded by the list of weights
-    dealt = i.select("stretch", "slot", point.alias("u")).join(p.select("source", "weight_from", "weight_to"), (F.col("u") >= F.col("weight_from")) & (F.col("u") < F.col("weight_to")))
+    # one entry a source, in one array; the list of weights bounds it
+    stretches = p.agg(F.array_sort(F.collect_list(F.struct("weight_from", "source"))).alias("s")).scalar()
+    i = i.select("stretch", "slot", stretches.alias("s"))
+    dealt = i.select("stretch", "slot", F.element_at(F.filter("s", lambda x: x["weight_from"] <= point), -1)["source"].alias("source"))
     per = dealt.groupBy("source", "stretch").agg(F.count(F.lit(1)).alias("c"))
     base = per.select("source", "stretch", F.coalesce(F.sum("c").over(Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("source", "stretch").orderBy("slot")) - 1

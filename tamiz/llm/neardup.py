@@ -19,6 +19,10 @@ Regions are split by blocks of documents (all pairs of blocks) when there are mo
 the cost only.  Records with equal shingle sets form one class; classes are joined, not records.
 
 Shingles are 48-bit hashes; two of one record collide with a chance under 1e-9.
+
+Edge cases: records with a null key, a null or empty text, or a text of fewer words than a shingle
+have no set and are no cases; a key that occurs twice counts as two records of that key; other columns are not read; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -115,7 +119,7 @@ def page_sets(pages: DataFrame, key: str = "rec_no", text: str = "text", k: int
                 kept = lines.at[~cut]
                 yield _set_rows(part.column(0), lines.raw.take(pa.array(kept)), lines.page_all[kept], k)
 
-    rows = pages.select(F.col(key).cast("bigint").alias("rec_no"), F.col(text).alias("text")).where(F.length("text") > 0)
+    rows = pages.select(F.col(key).cast("bigint").alias("rec_no"), F.col(text).alias("text")).where((F.length("text") > 0) & F.col("rec_no").isNotNull())
     return rows.mapInArrow(run, "rec_no bigint, sig bigint, size int, hashes binary")
 
 
@@ -128,7 +132,7 @@ def text_sets(texts: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
                 part = batch.slice(at, 2000)
                 yield _set_rows(part.column(0), part.column(1), np.arange(part.num_rows), k)
 
-    rows = texts.select(F.col(key).cast("bigint").alias("rec_no"), F.col(text).alias("text")).where(F.length("text") > 0)
+    rows = texts.select(F.col(key).cast("bigint").alias("rec_no"), F.col(text).alias("text")).where((F.length("text") > 0) & F.col("rec_no").isNotNull())
     return rows.mapInArrow(run, "rec_no bigint, sig bigint, size int, hashes binary")
 
 

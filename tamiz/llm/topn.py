@@ -48,6 +48,8 @@ def top_n(rows: DataFrame, groups: list[str], item: str, score: str, n: int = 10
     Rows with a null or NaN score or a null item are ignored; a null group value forms a group of
     its own (filter before where it is no case).  Groups with fewer items give fewer rows.
     """
+    if "rank" in (*groups, item, score):
+        raise ValueError("'rank' is the name of the result's last column")
     usable = rows.select(*groups, item, score).where(F.col(score).isNotNull() & ~F.isnan(score) & F.col(item).isNotNull())
     best = usable.groupBy(*groups, item).agg(F.max(score).alias(score))
     order = [*groups, F.col(score).desc(), F.col(item).asc()]
