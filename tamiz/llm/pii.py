@@ -96,14 +96,16 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
             b -= 1
     if kind == "address" and re.search(r"\b(?:Rd|St|Ave|Ln|Dr)$", text[a:b]) and text[b : b + 1] == ".":
         b += 1
+    if kind == "ident" and re.match(r"\d \d\d ", text[a:b]) and (m := re.match(r"(?: \d{2,3})+(?!\w)", text[b:])):
+        b += m.end()  # groups of one spaced number stay together
     v = text[a:b]
     if v.startswith("(") and ")" not in v:
         a, v = a + 1, v[1:]
     digits = sum(c.isdigit() for c in v)
     fine = {
         "email": bool(re.search(r"@|\(at\)|\[at\]", v, re.I)) and bool(re.search(r"\.|dot|punto", v, re.I)),
-        "phone": digits >= 7,
-        "ident": digits >= 5,
+        "phone": 7 <= digits <= 18,
+        "ident": 5 <= digits <= 20,
         "address": digits >= 1 and any(c.isupper() for c in v),
         "name": digits == 0 and any(c.isupper() for c in v) and sum(c.isalpha() for c in v) >= 3,
     }[kind]
