@@ -94,6 +94,8 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     if kind in ("email", "phone", "ident") or kind == "name" and len(text[a:b].split(" ")[-1]) > 2:
         while a < b and text[b - 1] == ".":
             b -= 1
+    if kind == "address" and (m := re.search(r"(?<=\.)\. |(?<=\d)\. (?=[A-ZÀ-Ý])", text[a:b])):
+        b = a + m.start()  # no sentence ends inside an address
     if kind == "address" and re.search(r"\b(?:Rd|St|Ave|Ln|Dr)$", text[a:b]) and text[b : b + 1] == ".":
         b += 1
     if kind == "ident" and re.match(r"\d \d\d ", text[a:b]) and (m := re.match(r"(?: \d{2,3})+(?!\w)", text[b:])):

@@ -17,7 +17,7 @@ _DOT = r"(?:\.| ?\(dot\) ?| ?\[dot\] ?)"
 EMAIL = rf"[A-Za-z0-9][\w.+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+"
 PHONE = (
     r"(?<![\w.+-])(?:\+\d{1,3} (?:\(\d{1,4}\) ?)?\d[\d .-]{5,}\d"
-    r"|\(\d{2,4}\) 9?\d{3,4}[- ]\d{4}|(?:011 15 |011 )?5550[- ]\d{4}|54115550\d{4}|0800-555-\d{4}"
+    r"|\(\d{2,4}\) 9?\d{3,4}[- ]\d{4}|(?:011 15 |011 |\d\d )?5550[- ]\d{4}|54115550\d{4}|0800-555-\d{4}"
     r"|(?:\d{3}[-.])?555[-.]\d{4}|020 7946 \d{4}|0199 00 \d{4}|01([ .])99\1\d\d\1\d\d\1\d\d)"
     r"(?: (?:ext|int)\. ?\d+| (?:ramal|poste|interno) \d+)?(?!\w)"
 )
@@ -29,11 +29,11 @@ IDENT = (
 )
 BARE_IDENT = (
     r"(?<![\w.-])(?:99\.\d{3}\.\d{3}(?:-[A-Z0-9])?|99 \d{3} \d{3}|\d\d-99\d{6}-\d|X-00\d{5}-Q|ZZX\d{6}|99ZZ\d{5}|9999\d{6}ZZ"
-    r"|QX-\d{3}-\d{3}-\d|9\d\d-\d\d-\d{4}|999\.\d{3}\.\d{3}-\d\d|QQ(?: \d\d){3} [A-Z])(?![\w-])"
+    r"|QX-\d{3}-\d{3}-\d|9\d\d-\d\d-\d{4}|999\.\d{3}\.\d{3}-\d\d|QQ(?: \d\d){3} [A-Z]|\d 99 \d\d 99 \d{3} \d{3} \d\d)(?![\w-])"
 )
 _CAP = r"[A-ZÀ-Ý][\w'’]+"
 ADDRESS = (
-    rf"(?:\b(?:[Cc]alle|[Aa]venida|[Aa]v\.|[Bb]ulevar|[Pp]je\.|[Pp]asaje|[Rr]ua|[Tt]ravessa|[Aa]lameda|[Pp]raça)|\bC/) "
+    rf"(?:\b(?:[Cc]alle|[Aa]venida|[Aa]v\.|[Bb]ulevar|[Pp]je\.|[Pp]asaje|[Rr]ua|[Tt]ravessa|[Aa]lameda|[Pp]raça|R\.)|\bC/) "
     rf"(?:d[eao]s? (?:l[oa]s? )?)?{_CAP}(?: {_CAP})*,? (?:N° |nº |n° )?\d{{1,5}}[A-Z]?"
     rf"(?:,? (?:piso \d+(?: [A-Z]\b)?|dpto\. \d+|apto\.? \d+|ap\. \d+|\d+º andar))*"
     rf"|\b\d{{1,4}}(?: bis| ter)?,? (?:rue|avenue|bd|boulevard|impasse|place|allée|chemin|quai) "

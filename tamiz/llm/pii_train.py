@@ -1,4 +1,4 @@
-"""Trains the tagger: ``python -m tamiz.llm.pii_train DOCUMENTS.parquet [SECONDS]``.
+"""Trains the tagger: ``python -m tamiz.llm.pii_train DOCUMENTS.parquet [SECONDS [RATE]]``; a rate continues from the stored weights.
 
 Labels are weak ones (:mod:`tamiz.llm.pii_labels`) on at most ``MAX_DOCS`` documents, one in ten of
 which is held out.  Gradients of the BiLSTM and of the CRF are written out; Adam updates.
@@ -8,6 +8,7 @@ Writes ``pii_weights.npz`` beside this file.
 from __future__ import annotations
 
 import random
+import re
 import sys
 import time
 from pathlib import Path
@@ -21,17 +22,28 @@ MAX_DOCS, HIDDEN, WINDOW, BATCH, SEED = 10_000, 48, 176, 160, 7
 OUT = Path(__file__).with_name("pii_weights.npz")
 
 
-def sample(texts: list[str], rnd: random.Random) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Lines with spans, and as many without."""
+def split(texts: list[str]) -> tuple[list, list]:
+    """Lines with spans and lines without."""
     some, none = [], []
     for t in texts:
         for line in t.split("\n"):
             if line.strip():
                 (some if (s := spans(line)) else none).append((line, s))
+    return some, none
+
+
+def sample(texts: list[str], rnd: random.Random) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Lines with spans, and nearly as many without."""
+    some, none = split(texts)
     rnd.shuffle(none)
     return some + none[: int(0.8 * len(some))]
 
 
+def lookalikes(none: list) -> list:
+    """Lines without spans that have long numbers, capitals in a row, capitals after the first word, or a mail sign."""
+    return [x for x in none if re.search(r"\d\W?\d{4}|\d{3}\W\d{3}|[A-Z]{4}|@|[a-z»] \(?[A-ZÀ-Ý]", x[0])] or none
+
+
 def window(line: str, found: list, rnd: random.Random) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line, found = augment(line, found, rnd)
     a = 0
@@ -191,25 +203,30 @@ def f1(p, items) -> tuple[float, float, float]:
     return hit / max(got, 1), hit / max(want, 1), 2 * hit / max(got + want, 1)
 
 
-def main(path: str, seconds: float = 300) -> None:
+def main(path: str, seconds: float = 300, rate: float = 0) -> None:
     import pandas as pd
 
     rnd, nrnd = random.Random(SEED), np.random.default_rng(SEED)
     texts = [t for t in pd.read_parquet(path, columns=["text"]).text.dropna().head(MAX_DOCS) if t]
     rnd.shuffle(texts)
-    held, items = sample(texts[: len(texts) // 10], rnd), sample(texts[len(texts) // 10 :], rnd)
-    print(len(items), "lines,", len(held), "held out", flush=True)
+    held, (some, none) = sample(texts[: len(texts) // 10], rnd), split(texts[len(texts) // 10 :])
+    hard = lookalikes(none)
+    print(len(some), len(none), len(hard), "lines,", len(held), "held out", flush=True)
     p = init(nrnd)
+    if rate:
+        with np.load(OUT) as z:
+            p = {q: z[q].astype(np.float32) for q in z.files}
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     began, k, epoch = time.time(), 0, 0
     while (done := (time.time() - began) / seconds) < 1:
+        items = some + rnd.choices(none, k=len(some) // 2) + (rnd.choices(hard, k=len(some) // 2) if rate else [])
         rnd.shuffle(items)
         losses = []
         for i in range(0, len(items), BATCH):
             done = (time.time() - began) / seconds
             if done >= 1:
                 break
-            rate = 8e-3 * min(1, (k + 1) / 30) * (0.03 + 0.97 * 0.5 * (1 + np.cos(np.pi * done)))
+            now = (rate or 8e-3) * min(1, (k + 1) / 30) * (0.03 + 0.97 * 0.5 * (1 + np.cos(np.pi * done)))
             loss, g = step(p, *batch(items[i : i + BATCH], rnd))
             norm = float(np.sqrt(sum((x * x).sum() for x in g.values())))
             k += 1
@@ -217,7 +234,7 @@ def main(path: str, seconds: float = 300) -> None:
                 d = g[q] * min(1, 5 / norm)
                 m[q] = 0.9 * m[q] + 0.1 * d
                 v[q] = 0.99 * v[q] + 0.01 * d * d
-                p[q] = p[q] - (rate * (m[q] / (1 - 0.9**k)) / (np.sqrt(v[q] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
+                p[q] = p[q] - (now * (m[q] / (1 - 0.9**k)) / (np.sqrt(v[q] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
             losses.append(loss)
         epoch += 1
         print(f"epoch {epoch} step {k} {time.time() - began:.0f}s loss {np.mean(losses):.3f} held-out P R F1", *(f"{x:.4f}" for x in f1(p, held[:600])), flush=True)
