@@ -42,3 +42,12 @@ def broadcast_if_small(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least as many partitions as the cluster has cores, for steps whose CPU time outweighs a shuffle of their input.
+
+    Only for plain scans: counting the partitions of a plan with shuffles would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
