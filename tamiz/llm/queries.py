@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.llm import boilerplate, mixing, neardup, ngrams, pii, tokenizer, topn, weights
-from tamiz.session import checkpointed, table
+from tamiz.session import checkpointed, spread, table
 
 
 def _p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,11 +74,11 @@ def _p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.found(table(spark, d, "documents"))
+    return pii.found(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def _p10_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redact(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "redacted", F.size("pii").alias("n_found"))
+    return pii.redact(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "redacted", F.size("pii").alias("n_found"))
 
 
 QUERIES = {
