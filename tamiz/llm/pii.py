@@ -105,7 +105,7 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         a, v = a + 1, v[1:]
     digits = sum(c.isdigit() for c in v)
     fine = {
-        "email": bool(re.search(r"@|\(at\)|\[at\]", v, re.I)) and bool(re.search(r"\.|dot|punto", v, re.I)),
+        "email": bool(re.search(r"@|[(\[] ?(?:at|arroba|arobase) ?[)\]]", v, re.I)) and bool(re.search(r"\.|dot|punto|ponto|point", v, re.I)),
         "phone": 7 <= digits <= 18,
         "ident": 5 <= digits <= 20,
         "address": digits >= 1 and any(c.isupper() for c in v),

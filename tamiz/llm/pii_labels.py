@@ -12,8 +12,8 @@ import re
 KINDS = ("email", "phone", "ident", "address", "name")
 
 # --- fixed values: shapes of labelled spans -------------------------------------------------
-_AT = r"(?:@| @ | ?\(at\) ?| ?\[at\] ?)"
-_DOT = r"(?:\.| ?\(dot\) ?| ?\[dot\] ?)"
+_AT = r"(?:@| @ | ?[(\[] ?(?i:at|arroba|arobase) ?[)\]] ?)"
+_DOT = r"(?:\.| ?[(\[] ?(?i:dot|punto|ponto|point) ?[)\]] ?)"
 EMAIL = rf"[A-Za-z0-9][\w.+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+"
 PHONE = (
     r"(?<![\w.+-])(?:\+\d{1,3} (?:\(\d{1,4}\) ?)?\d[\d .-]{5,}\d"
@@ -75,11 +75,24 @@ def invented_name(rnd: random.Random) -> str:
     return s[0].upper() + s[1:]
 
 
+_SPELL = (("at", "dot"), ("arroba", "punto"), ("arroba", "ponto"), ("arobase", "point"))
+
+
+def disguised(mail: str, rnd: random.Random) -> str:
+    """The address with its sign and the dots of its host as bracketed words of one language."""
+    (at, dot), (left, right), (out, inner) = rnd.choice(_SPELL), rnd.choice(("()", "()", "[]")), rnd.choice(((" ", ""), (" ", ""), ("", ""), (" ", " ")))
+    word = lambda x: f"{out}{left}{inner}{x}{inner}{right}{out}"
+    m = re.search(_AT, mail)
+    return mail[: m.start()] + word(at) + re.sub(_DOT, word(dot), mail[m.end() :])
+
+
 def augment(text: str, found: list[tuple[int, int, str]], rnd: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with other values: some surnames replaced by invented ones, digits redrawn, a few names in capitals."""
+    """The text with other values: some addresses disguised, some surnames replaced by invented ones, digits redrawn, a few names in capitals."""
     out, new, at, shift = [], [], 0, 0
     for a, b, kind in found:
         v = text[a:b]
+        if kind == "email" and rnd.random() < 0.25:
+            v = disguised(v, rnd)
         if kind == "name" and rnd.random() < 0.5:
             v = re.sub(_SUR, lambda m: invented_name(rnd), v)
             v = v.upper() if rnd.random() < 0.06 else v

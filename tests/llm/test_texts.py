@@ -264,6 +264,22 @@ def test_spans_of_each_kind():
     assert found == {("email", "sofia.tovena@correo.example"), ("phone", "+54 11 5550-7643"), ("ident", "99.812.443"), ("address", "Calle Aromos 3917"), ("name", "Ramiro Wendiego")}
 
 
+DISGUISED = {
+    "Escribir a lambinho-96 (arroba) lab-ri (punto) example (punto) net por la tarde.": "lambinho-96 (arroba) lab-ri (punto) example (punto) net",
+    "Contato: felipe.ostikov (arroba) lab-ri (ponto) example (ponto) net": "felipe.ostikov (arroba) lab-ri (ponto) example (ponto) net",
+    "mon adresse est wendero_r (arobase) example (point) com et je la lis souvent.": "wendero_r (arobase) example (point) com",
+    "Contacto: clara.tovena [arroba] correo [punto] example": "clara.tovena [arroba] correo [punto] example",
+}
+
+
+@pytest.mark.parametrize("text", DISGUISED)
+def test_addresses_in_words_of_other_languages(text):
+    want = DISGUISED[text]
+    assert [text[a:b] for a, b, k in pii_labels.spans(text) if k == "email"] == [want]
+    assert pii.settle(text, text.index(want), text.index(want) + len(want), "email") is not None
+    assert ("email", want) in {(k, text[a:b]) for a, b, k in pii.tag_texts(pii.load(pii.weights()), [text])[0]}
+
+
 def test_long_lines_are_read_to_the_end():
     q = pii.load(pii.weights())
     filler = "La tabla de saltos reduce el disco externo antes de fusionar. "
