@@ -109,7 +109,7 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         "phone": 7 <= digits <= 18,
         "ident": 5 <= digits <= 20,
         "address": digits >= 1 and any(c.isupper() for c in v),
-        "name": digits == 0 and any(c.isupper() for c in v) and sum(c.isalpha() for c in v) >= 3,
+        "name": digits == 0 and sum(c.isalpha() for c in v) >= 3,
     }[kind]
     return (a, b) if fine and a < b else None
 

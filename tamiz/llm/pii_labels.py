@@ -50,9 +50,12 @@ _GIVEN = r"(?:[A-ZÀ-Ý]\w+|[A-ZÀ-Ý]\.)"
 _TITLE = r"(?:Dra?|Lic|Sra?|Ing|Prof|prof|Mrs?|Ms|Mme|M)\.? "
 _LEAD = r"(?:Seg[uú]n|According to|Selon|Segundo|Conforme|Saludos|Regards|Cordialement|Abraços)"
 NAME = rf"(?:{_SURS}, [A-ZÀ-Ý]\w+|(?:(?!{_TITLE}|{_LEAD}\b|{_SUR})(?<!\w){_GIVEN} ){{0,2}}\b{_SURS})"
+#: A given name and a surname in lower case; not the local part of an address.
+_LOWS = rf"(?=[a-z]){_SUR}(?:[ -](?=[a-z]){_SUR})?"
+LOW_NAME = rf"(?<![\w@.+/-])(?!(?:est|para|por|con|que|los|las|pour|par|the|and|from|said)\b)[a-zà-ÿ]{{3,}} {_LOWS}(?![\w@+-]|\.\w| ?@| ?[(\[] ?(?i:at|arroba|arobase)\b)"
 # --------------------------------------------------------------------------------------------
 
-_RULES = [(k, re.compile(p)) for k, p in (("email", EMAIL), ("address", ADDRESS), ("ident", IDENT), ("ident", BARE_IDENT), ("phone", PHONE), ("name", NAME))]
+_RULES = [(k, re.compile(p)) for k, p in (("email", EMAIL), ("address", ADDRESS), ("ident", IDENT), ("ident", BARE_IDENT), ("phone", PHONE), ("name", NAME), ("name", LOW_NAME))]
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:
@@ -87,15 +90,17 @@ def disguised(mail: str, rnd: random.Random) -> str:
 
 
 def augment(text: str, found: list[tuple[int, int, str]], rnd: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with other values: some addresses disguised, some surnames replaced by invented ones, digits redrawn, a few names in capitals."""
+    """The text with other values: some addresses disguised, some surnames replaced by invented ones, digits redrawn, a few names in capitals or in lower case."""
     out, new, at, shift = [], [], 0, 0
     for a, b, kind in found:
         v = text[a:b]
         if kind == "email" and rnd.random() < 0.25:
             v = disguised(v, rnd)
         if kind == "name" and rnd.random() < 0.5:
-            v = re.sub(_SUR, lambda m: invented_name(rnd), v)
+            v = re.sub(_SUR, lambda m: n if (n := invented_name(rnd)) and m[0][0].isupper() else n.lower(), v)
             v = v.upper() if rnd.random() < 0.06 else v
+        elif kind == "name" and " " in v and rnd.random() < 0.3:
+            v = v.lower()
         elif kind in ("phone", "ident", "address") and rnd.random() < 0.5:
             v = re.sub(r"(?<!^)\d", lambda m: rnd.choice("0123456789"), v)
         out += [text[at:a], v]

@@ -280,6 +280,17 @@ def test_addresses_in_words_of_other_languages(text):
     assert ("email", want) in {(k, text[a:b]) for a, b, k in pii.tag_texts(pii.load(pii.weights()), [text])[0]}
 
 
+@pytest.mark.parametrize(("text", "want"), [("Regards, hugo lambalba", "hugo lambalba"), ("The judgement was reviewed by iván maldinho last week.", "iván maldinho"), ("this is renata lambuoz and I cannot open it", "renata lambuoz")])
+def test_names_in_lower_case(text, want):
+    assert [text[a:b] for a, b, k in pii_labels.spans(text) if k == "name"] == [want]
+    assert ("name", want) in {(k, text[a:b]) for a, b, k in pii.tag_texts(pii.load(pii.weights()), [text])[0]}
+
+
+def test_local_parts_are_not_names_in_lower_case():
+    for text in ("my address is querralba-62@mail.example.org", "Contacto: harlirier-27 (arroba) example (punto) com", "mi correo es dora ostena@example.com"):
+        assert not [s for s in pii_labels.spans(text) if s[2] == "name"]
+
+
 def test_long_lines_are_read_to_the_end():
     q = pii.load(pii.weights())
     filler = "La tabla de saltos reduce el disco externo antes de fusionar. "
