@@ -358,7 +358,7 @@ def found(pages: DataFrame) -> DataFrame:
     return record_pairs(checkpointed(page_sets(pages)))
 
 
-def groups(sets: DataFrame, t: float = THRESHOLD, rounds: int = 30) -> DataFrame:
+def groups(sets: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """(rec_no, class, links, group_id): one row a record; links are those of its class to other classes, group_id the smallest record connected.
 
     Labels spread along links, each round's result checkpointed, until none changes.
@@ -367,10 +367,12 @@ def groups(sets: DataFrame, t: float = THRESHOLD, rounds: int = 30) -> DataFrame
     pairs = checkpointed(class_pairs(sets, t).select("a", "b"))
     both = checkpointed(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = checkpointed(both.groupBy("a").agg(F.count(F.lit(1)).alias("links"), F.least(F.min("b"), F.first("a")).alias("l")))
-    for _ in range(rounds):
+    while True:  # a label only falls, so this ends
         near = both.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        # the label's own label shortens long chains
         step = label.join(near, "a").select("a", "links", "l", F.least("l", "m").alias("m"))
+        # what a record sees is passed to its label, and the label's own label is taken: long chains shrink in any order
+        hook = step.groupBy(F.col("l").alias("a")).agg(F.min("m").alias("h"))
+        step = step.join(hook, "a", "left").select("a", "links", "l", F.least("m", "h").alias("m"))
         jump = step.join(label.select(F.col("a").alias("m"), F.col("l").alias("j")), "m", "left").select("a", "links", F.least("m", F.coalesce("j", "m")).alias("l"), (F.least("m", F.coalesce("j", "m")) < F.col("l")).alias("moved"))
         jump = checkpointed(jump)
         label = jump.drop("moved")

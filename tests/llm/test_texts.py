@@ -144,6 +144,14 @@ def test_long_chain_is_one_group(spark):
     assert {r[3] for r in got} == {0}
 
 
+def test_chain_out_of_order_is_one_group(spark, monkeypatch):
+    ids = [0, *range(39, 0, -1)]
+    links = spark.createDataFrame([(min(x, y), max(x, y), 0.9) for x, y in zip(ids, ids[1:])], "a bigint, b bigint, similarity double")
+    monkeypatch.setattr(neardup, "class_pairs", lambda *_: links)
+    sets = spark.createDataFrame([(i, i) for i in ids], "rec_no bigint, sig bigint")
+    assert {r[3] for r in rows(neardup.groups(sets))} == {0}
+
+
 @pytest.fixture(scope="module")
 def vocab():
     with open(tokenizer.BYTE_BPE_50K, "rb") as f:
