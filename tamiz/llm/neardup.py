@@ -9,14 +9,17 @@ projections of the metric space, joined on their own and exactly:
   y in at least one group (the bounds on common shingles add up over groups); so each region
   joins parts, and what no region finds cannot be a pair.
 * Inside a region single shingles are the pivots: a part belongs to the cells of its prefix, rarest
-  shingles first, as long as a partner of similarity t can require, and ``COMMON`` longer, for which
-  a pair must share that many cells.  The empty set's triangle inequality gives a window of sizes.
-* Parts that pass are compared in full; pairs of records that pass in some region are compared over all
-  regions.
-
-Regions are split by blocks of documents (all pairs of blocks) when there are more documents than
-``BLOCK``.  Nothing is sampled and no list is capped, so every pair is found; orders and counts decide
-the cost only.  Records with equal shingle sets form one class; classes are joined, not records.
+  shingles first, as long as a partner of similarity t can require.  Cells are hashed to as many
+  regions a group as memory asks for; a part travels to each region that its prefix names, so often at
+  most as its prefix is long, whatever the number of documents.  The empty set's triangle
+  inequality gives a window of sizes.
+* Pairs that meet in a cell pass a bound from 64 bits a part, then the parts are compared in full, and
+  a pair is told by the region of its first common shingle only.  Common shingles of all groups add
+  up to a lower bound of the pair's similarity; pairs that it leaves open are compared over whole sets.
+
+Nothing is sampled and no list is capped, so every pair is found; orders and counts decide
+the cost only.  Records with equal shingle sets form one class; classes are joined, not records, and
+known by the hash of their set, so that keys need not be unique.
 
 Shingles are 48-bit hashes; two of one record collide with a chance under 1e-9.
 
@@ -40,9 +43,12 @@ from tamiz.llm import boilerplate as bp
 from tamiz.session import checkpointed
 
 WORDS, THRESHOLD = 3, 0.5
-GROUPS, COMMON, BLOCK = 8, 2, 250_000
-CHUNK = 8192  # documents counted at once in a region: memory, not results
-CELLS = 1 << 20  # of the count sketch, a fixed size
+GROUPS, BYTES = 12, 6
+REGION = 48 << 20  # bytes of shingles in a region
+CHUNK = 262_144  # postings joined at once in a region: memory, not results
+CELLS = (1 << 20, 1 << 24)  # least and most of the count sketch, a byte each
+BROADCAST = 1_000_000  # open pairs, of two numbers each
+LIST = 512  # members of a class in one list
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -178,180 +184,250 @@ def _summed(rows: DataFrame, make, cells: int) -> np.ndarray:
     return out
 
 
-def rarity(sets: DataFrame) -> np.ndarray:
+def rarity(sets: DataFrame, total: int) -> np.ndarray:
     """For each cell of a count sketch over all sets, 0 for a single use, else four times the logarithm of the uses."""
+    cells = 1 << int(np.clip(math.ceil(math.log2(max(total, 1) / 32)), *(x.bit_length() - 1 for x in CELLS)))
+    drop = np.uint64(48 - (cells.bit_length() - 1))
 
-    def count(total: np.ndarray, batch: pa.RecordBatch) -> None:
+    def count(sums: np.ndarray, batch: pa.RecordBatch) -> None:
         h, _ = _hashes(batch.column("hashes"))
-        n = np.bincount((h >> np.uint64(28)).astype(np.int64), minlength=CELLS)
-        np.copyto(total, np.minimum(total.astype(np.int64) + n, 255).astype(np.uint8))
+        n = np.bincount((h >> drop).astype(np.int64), minlength=cells)
+        np.copyto(sums, np.minimum(sums.astype(np.int64) + n, 255).astype(np.uint8))
 
-    uses = _summed(sets.select("hashes"), count, CELLS)
+    uses = _summed(sets.select("hashes"), count, cells)
     return np.minimum(np.ceil(4 * np.log2(np.maximum(uses, 1))), 255).astype(np.uint8)
 
 
-def _emitter(rank: np.ndarray, groups: int, blocks: int):
-    """One row for each document and group: the shingles of the group, rarest first."""
+def base_prefix(n: np.ndarray, t: float) -> np.ndarray:
+    """How many of a part's first shingles hold one that any partner of similarity t shares."""
+    return n - np.ceil(n * t - 1e-9).astype(np.int64) + 1
+
+
+def _cell(h: np.ndarray, cells: int) -> np.ndarray:
+    return (_mixed(h) % np.uint64(cells)).astype(np.int64)
+
+
+def _emitter(rank: np.ndarray, groups: int, cells: int, t: float, label: np.ndarray):
+    """The part of each class and group, shingles rarest first: one row for each cell that its prefix names.
+
+    A partition emits a class once, so that copies of one text, however many, give a row a partition.
+    """
+    drop = np.uint64(48 - int(np.log2(len(rank))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            sig = batch.column("sig").to_pylist()
+            fresh = [i for i, x in enumerate(sig) if not (x in seen or seen.add(x))]
+            if len(fresh) < len(sig):
+                batch = batch.take(pa.array(fresh, pa.int64()))
             h, n = _hashes(batch.column("hashes"))
+            if not len(h):
+                continue
             doc = np.repeat(np.arange(len(n)), n)
             g = (h % np.uint64(groups)).astype(np.int64)
-            o = np.lexsort((h, rank[(h >> np.uint64(28)).astype(np.int64)], doc, g))
-            h, cell = h[o], (g * len(n) + doc)[o]
-            begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
-            blob = _packed(h, np.r_[begin, len(h)])
-            row, group = cell[begin] % len(n), cell[begin] // len(n)
-            mine = _block(batch.column("sig").to_numpy(zero_copy_only=False), blocks)[row]
-            rest = [batch.column(c).take(pa.array(row)) for c in ("rec_no", "sig", "size")]
-            for other in range(blocks):
-                region = (group * blocks + np.minimum(mine, other)) * blocks + np.maximum(mine, other)
-                yield pa.record_batch([pa.array(region), *rest, blob], names=["region", "rec_no", "sig", "size", "part"])
+            o = np.lexsort((h, rank[(h >> drop).astype(np.int64)], doc, g))
+            h, part = h[o], (g * len(n) + doc)[o]
+            begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            ends = np.r_[begin, len(h)]
+            size = np.diff(ends)
+            blob = _packed(h, ends)
+            pos = np.arange(len(h)) - np.repeat(begin, size)
+            use = np.flatnonzero(pos < np.repeat(base_prefix(size, t), size))
+            to = np.unique(np.repeat(np.arange(len(begin)), size)[use] * cells + _cell(h[use], cells))
+            row, cell = to // cells, to % cells
+            doc, group = part[begin][row] % len(n), part[begin][row] // len(n)
+            rest = [batch.column(c).take(pa.array(doc)) for c in ("sig", "size")]
+            yield pa.record_batch([pa.array(label[group * cells + cell]), *rest, blob.take(pa.array(row))], names=["region", "sig", "size", "part"])
 
     return run
 
 
-def _block(sig: np.ndarray, blocks: int) -> np.ndarray:
-    return (_mixed(sig.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-
-
 class Region:
     """The parts of one region, one for each class."""
 
     def __init__(self, table: pa.Table):
-        sig, rec, size = (table.column(c).to_numpy() for c in ("sig", "rec_no", "size"))
+        sig, size = (table.column(c).to_numpy() for c in ("sig", "size"))
         h, n = _hashes(table.column("part"))
-        o = np.lexsort((rec, sig))
-        one = o[np.r_[True, sig[o][1:] != sig[o][:-1]]] if len(o) else o  # the first record stands for its class
-        one = one[np.argsort(rec[one], kind="stable")]
+        self.sig, one = np.unique(sig, return_index=True)
         start = np.cumsum(n) - n
-        self.sig, self.rec, self.size, self.n = sig[one], rec[one], size[one].astype(np.int64), n[one]
+        self.size, self.n = size[one].astype(np.int64), n[one]
         self.begin = np.cumsum(self.n) - self.n
         self.pos = np.arange(int(self.n.sum())) - np.repeat(self.begin, self.n)
-        h = h[self.pos + np.repeat(start[one], self.n)]
+        self.h = h[self.pos + np.repeat(start[one], self.n)]
         self.doc = np.repeat(np.arange(len(one)), self.n)
-        distinct, self.token = np.unique(h, return_inverse=True)
+        distinct, self.token = np.unique(self.h, return_inverse=True)
         self.width = max(1, len(distinct))
+        bit = (_mixed(self.h) >> np.uint64(58)).astype(np.uint64)
+        self.bits = np.zeros(len(one), np.uint64)
+        if len(one):
+            self.bits = np.bitwise_or.reduceat(np.uint64(1) << bit, self.begin)  # no part is empty
         self.keys = None
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Shingles common to the parts a[i] and b[i]."""
+    def common(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles common to the parts a[i] and b[i], and the row of the first of them in a (-1: none)."""
         if self.keys is None:
             self.keys = np.sort(self.doc * self.width + self.token)
-        out = np.zeros(len(a), np.int64)
+        out, first = np.zeros(len(a), np.int64), np.full(len(a), -1, np.int64)
         for at in range(0, len(a), 200_000):  # bounds the memory, not the work
             x, y = a[at : at + 200_000], b[at : at + 200_000]
             n = self.n[x]
             flat = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[x], n)
             want = np.repeat(y, n) * self.width + self.token[flat]
-            hit = self.keys[np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)] == want
-            out[at : at + 200_000] = np.bincount(np.repeat(np.arange(len(x)), n), weights=hit, minlength=len(x))
-        return out
-
-    def pairs(self, t: float, least: int, cross: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Index pairs whose parts have similarity t; ``cross``: only between different values of it."""
+            hit = np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)] == want)
+            pair = np.repeat(np.arange(len(x)), n)[hit]
+            out[at : at + 200_000] = np.bincount(pair, minlength=len(x))
+            head = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else pair
+            first[at + pair[head]] = flat[hit[head]]
+        return out, first
+
+    def pairs(self, t: float, cell: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(x, y, common): pairs of parts of similarity t whose first common shingle belongs to ``cell``."""
         share = t / (1 + t)
-        take = self.pos < (self.n - np.ceil(self.n * t - 1e-9) + least)[self.doc]
+        take = np.flatnonzero((self.pos < base_prefix(self.n, t)[self.doc]) & ((_cell(self.h, cells) == cell) if cells > 1 else True))
         doc, token, pos = self.doc[take], self.token[take], self.pos[take]
         o = np.lexsort((doc, self.n[doc], token))
-        doc, token, pos = doc[o].astype(np.int32), token[o], pos[o].astype(np.int32)
+        doc, token, pos = doc[o].astype(np.int32), token[o], pos[o]
         z = self.n[doc]
-        room = z - pos + least  # a posting counts while the fewest common shingles stay below this
-        reach = (room + 1e-3) / share - z  # largest partner that the posting can count with
+        # were this the first common shingle, at most z - pos are common: that bounds the partner's size
+        reach = (z - pos + 1e-3) / share - z
         # lists run by size and document: partners of a posting are the run after it up to a size
         span = int(z.max(initial=0)) + 2
         most = np.floor(np.minimum(reach, (z + 1e-3) / t)).astype(np.int64)
         stop = np.searchsorted(token * span + z, token * span + np.minimum(most, span - 1), "right") - np.arange(len(z)) - 1
         core = np.flatnonzero((stop > 0) & (most >= z))
         low = reach.astype(np.float32)
-        found = [np.empty((2, 0), np.int64)]
-        for begin in range(0, len(self.rec), CHUNK):  # all pairs of one smaller part are counted together
-            at = core[(doc[core] >= begin) & (doc[core] < begin + CHUNK)]
+        # similarity t needs that many common shingles; the differing bits bound how many there can be
+        bits, n = self.bits[doc], z.astype(np.int32)
+        need = np.ceil(np.arange(2 * span + 1) * share - 1e-9)
+        slack = np.floor(np.arange(2 * span + 1) - 2 * need).astype(np.int8 if span < 60 else np.int32)  # most differing bits for a sum of sizes
+        found = [np.empty(0, np.int64)]
+        for begin in range(0, len(core), CHUNK):
+            at = core[begin : begin + CHUNK]
             at = at[np.argsort(-stop[at], kind="stable")].astype(np.int32)
-            more, size, first_of = -stop[at], z[at].astype(np.float32), doc[at]
+            more, size, mine, first_of = -stop[at], n[at], bits[at], doc[at]
             keys, d = [], np.int32(1)
             while (m := int(np.searchsorted(more, -d, "right"))) > 0:
                 b = at[:m] + d
-                ok = np.flatnonzero(low[b] >= size[:m])
-                i, j = first_of[ok], doc[b[ok]]
-                if cross is not None:
-                    k = cross[i] != cross[j]
-                    i, j = i[k], j[k]
-                if len(i):
-                    keys.append(i.astype(np.int64) * len(self.rec) + j)
+                total = size[:m] + n[b]
+                ok = np.flatnonzero((np.bitwise_count(mine[:m] ^ bits[b]) <= slack[total]) & (low[b] >= size[:m]))
+                if len(ok):
+                    keys.append(first_of[ok].astype(np.int64) * len(self.sig) + doc[b[ok]])
                 d += np.int32(1)
             if keys:
-                pair = np.sort(np.concatenate(keys))
-                first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-                count, pair = np.diff(np.r_[first, len(pair)]), pair[first]
-                x, y = pair // len(self.rec), pair % len(self.rec)
-                need = np.ceil((self.n[x] + self.n[y]) * share - 1e-9)
-                enough = count >= np.minimum(need, least)
-                x, y, need = x[enough], y[enough], need[enough]
-                same = self.common(x, y) >= need
-                found.append(np.stack([np.minimum(x, y)[same], np.maximum(x, y)[same]]))
-        x, y = np.concatenate(found, 1)
-        return x, y
-
-
-def _joiner(t: float, least: int, blocks: int):
+                found.append(np.unique(np.concatenate(keys)))
+        pair = np.unique(np.concatenate(found))
+        x, y = pair // max(1, len(self.sig)), pair % max(1, len(self.sig))
+        count, first = self.common(x, y)
+        same = count >= np.ceil((self.n[x] + self.n[y]) * share - 1e-9)
+        x, y, count, first = x[same], y[same], count[same], first[same]
+        if cells > 1 and len(x):  # a pair may meet in several cells of a group and is told in one
+            here = _cell(self.h[first], cells) == cell
+            x, y, count = x[here], y[here], count[here]
+        return x, y, count
+
+
+_FOUND = "a bigint, b bigint, common int, size int"
+
+
+def _joiner(t: float, cells: int, label: np.ndarray):
+    at = {int(x): i for i, x in enumerate(label)}
+
     def run(key, table: pa.Table) -> pa.Table:
-        r, region = Region(table), int(key[0].as_py())
-        low, high = region // blocks % blocks, region % blocks
-        a, b = r.pairs(t, least, _block(r.sig, blocks) if low != high else None)
-        return pa.table({"a": pa.array(r.rec[a], pa.int64()), "b": pa.array(r.rec[b], pa.int64()), "blocks": pa.array(np.full(len(a), low * blocks + high, np.int64))})
+        r = Region(table)
+        x, y, n = r.pairs(t, at[int(key[0].as_py())] % cells, cells)
+        a, b = r.sig[x], r.sig[y]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "common": pa.array(n.astype(np.int32)), "size": pa.array((r.size[x] + r.size[y]).astype(np.int32))})
 
     run.__annotations__ = {"key": tuple[pa.Scalar, ...], "table": pa.Table, "return": pa.Table}
     return run
 
 
-def _counter():
-    def run(key, table: pa.Table, pairs: pa.Table) -> pa.Table:
-        if not pairs.num_rows or not table.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "size": pa.array([], pa.int32())})
-        r = Region(table)
-        a, b = (pairs.column(c).to_numpy() for c in ("a", "b"))
-        i, j = (np.minimum(np.searchsorted(r.rec, x), len(r.rec) - 1) for x in (a, b))
-        here = (r.rec[i] == a) & (r.rec[j] == b)  # a record may have no shingle in this group
-        i, j = i[here], j[here]
-        return pa.table({"a": pa.array(a[here]), "b": pa.array(b[here]), "n": pa.array(r.common(i, j).astype(np.int32)), "size": pa.array((r.size[i] + r.size[j]).astype(np.int32))})
+def _labels(spark, n: int) -> np.ndarray:
+    """n numbers that hash to n different partitions of n, so that each region is a task of its own."""
+    got = np.full(n, -1, np.int64)
+    begin, step = 0, 16 * n
+    while (got < 0).any():
+        rows = spark.range(begin, begin + step).select(F.pmod(F.hash("id"), F.lit(n)).alias("p"), "id").groupBy("p").agg(F.min("id").alias("id")).collect()  # n rows
+        for r in rows:
+            if got[r.p] < 0:
+                got[r.p] = r.id
+        begin += step
+    return got
 
-    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "table": pa.Table, "pairs": pa.Table, "return": pa.Table}
-    return run
+
+def cells_for(total: int, groups: int, region: int = REGION) -> int:
+    """Cells a group, so that a region holds about ``region`` bytes of shingles.
+
+    A part goes to as many cells as its prefix names, half its shingles at most: what is emitted is bounded by that
+    multiple of the input, and does not depend on the number of cells.
+    """
+    return max(1, math.ceil(total * BYTES / groups / region))
 
 
-def class_pairs(sets: DataFrame, t: float = THRESHOLD, groups: int = GROUPS, least: int = COMMON, block: int = BLOCK) -> DataFrame:
-    """(a, b, similarity): pairs a < b of class representatives (the smallest record of a class); ``sets`` is read several times."""
-    rank = rarity(sets)
-    blocks = max(1, math.ceil(sets.count() / block))
-    rows = sets.mapInArrow(_emitter(rank, groups, blocks), "region bigint, rec_no bigint, sig bigint, size int, part binary")
-    parts = rows.repartition(F.col("region"))
-    near = parts.groupBy("region").applyInArrow(_joiner(t, least, blocks), "a bigint, b bigint, blocks bigint").distinct()
-    everywhere = near.select("a", "b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: g.cast("bigint") * blocks * blocks + F.col("blocks"))).alias("region"))
-    counts = parts.groupBy("region").cogroup(everywhere.groupBy("region")).applyInArrow(_counter(), "a bigint, b bigint, n int, size int")
-    total = counts.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
-    similarity = F.col("n") / (F.col("size") - F.col("n"))
-    return total.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= t)
+def _exact():
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, n = _hashes(a)
+        y, m = _hashes(b)
+        i, j = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
+        both, row = np.concatenate([x, y]), np.concatenate([i, j])
+        o = np.lexsort((both, row))
+        h, r = both[o], row[o]
+        twice = np.flatnonzero((h[1:] == h[:-1]) & (r[1:] == r[:-1])) if len(h) else np.empty(0, np.int64)
+        return pa.array(np.bincount(r[twice], minlength=len(n)).astype(np.int32))
+
+    run.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+    return F.arrow_udf("int")(run)
+
+
+def class_pairs(sets: DataFrame, t: float = THRESHOLD, groups: int = GROUPS, region: int = REGION) -> DataFrame:
+    """(a, b): pairs of classes, by their ``sig``, a < b; ``sets`` is read several times.
+
+    Common shingles of the groups in which a pair meets add up to a lower bound; pairs that it does not
+    decide are compared in full.
+    """
+    total = int(sets.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n)
+    rank, cells = rarity(sets, total), cells_for(total, groups, region)
+    label = _labels(sets.sparkSession, groups * cells)
+    parts = sets.mapInArrow(_emitter(rank, groups, cells, t, label), "region bigint, sig bigint, size int, part binary").repartition(groups * cells, F.col("region"))
+    near = parts.groupBy("region").applyInArrow(_joiner(t, cells, label), _FOUND)
+    near = checkpointed(near.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("size").alias("size")))
+    enough = F.col("common") >= F.ceil(F.col("size") * (t / (1 + t)) - 1e-9)
+    sure, open_ = near.where(enough).select("a", "b"), near.where(~enough)
+    asked = open_.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    if open_.count() <= BROADCAST:
+        asked = F.broadcast(asked)  # two numbers a pair
+    full = sets.select("sig", "hashes").join(asked, "sig", "left_semi").dropDuplicates(["sig"])
+    seen = open_.join(full.select(F.col("sig").alias("a"), F.col("hashes").alias("ha")), "a").join(full.select(F.col("sig").alias("b"), F.col("hashes").alias("hb")), "b")
+    n = seen.select("a", "b", "size", _exact()("ha", "hb").alias("n")).where(F.col("n") >= F.ceil(F.col("size") * (t / (1 + t)) - 1e-9))
+    return sure.unionByName(n.select("a", "b"))
 
 
 def classes(sets: DataFrame) -> DataFrame:
-    """(rec_no, class): records of equal sets, under the smallest of them."""
-    return sets.groupBy("sig").agg(F.min("rec_no").alias("class")).join(sets.select("sig", "rec_no"), "sig").select("rec_no", "class")
+    """(sig, class, members): records of equal sets, under the smallest key of them."""
+    return sets.groupBy("sig").agg(F.min("rec_no").alias("class"), F.count(F.lit(1)).alias("members"))
 
 
 def record_pairs(sets: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """(rec_no_a, rec_no_b), smaller first: every pair of records, copies expanded."""
-    members = classes(sets)
-    pairs = class_pairs(sets, t).select("a", "b")
-    same = members.where("class = rec_no").select(F.col("class").alias("a"), F.col("class").alias("b"))
-    # a class joins itself only where it has more than one record
-    many = members.where("class <> rec_no").select("class").distinct()
-    linked = pairs.unionByName(same.join(many.select(F.col("class").alias("a")), "a", "left_semi"))
-    left = members.select(F.col("class").alias("a"), F.col("rec_no").alias("x"))
-    right = members.select(F.col("class").alias("b"), F.col("rec_no").alias("y"))
-    got = linked.join(left, "a").join(right, "b").where("a <> b or x < y")
-    return got.select(F.least("x", "y").alias("rec_no_a"), F.greatest("x", "y").alias("rec_no_b"))
+    """(rec_no_a, rec_no_b), smaller first: every pair of records, copies expanded.
+
+    Classes are expanded in lists of about ``LIST`` members: a class of any size is many rows, none of them large, and
+    each pair of lists is one row until it is written out.
+    """
+    known = classes(sets).select("sig", F.ceil(F.col("members") / LIST).cast("int").alias("lists"), "members")
+    pick = F.pmod(F.xxhash64("rec_no", "n"), F.col("lists")).cast("int")
+    # a key found twice under one text counts twice, hence the row number beside it
+    rows = sets.select("sig", "rec_no", F.monotonically_increasing_id().alias("n")).join(known.select("sig", "lists"), "sig").withColumn("list", pick)
+    lists = rows.groupBy("sig", "list").agg(F.collect_list(F.struct("rec_no", "n")).alias("recs"))
+    pairs = class_pairs(sets, t).unionByName(known.where("members > 1").select(F.col("sig").alias("a"), F.col("sig").alias("b")))
+    size = lambda c: known.select(F.col("sig").alias(c), F.col("lists").alias(f"l{c}"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    blocks = pairs.join(size("a"), "a").join(size("b"), "b").withColumn("i", upto("la")).withColumn("j", upto("lb")).where("a <> b or i <= j")
+    blocks = blocks.join(lists.select(F.col("sig").alias("a"), F.col("list").alias("i"), F.col("recs").alias("xs")), ["a", "i"])
+    blocks = blocks.join(lists.select(F.col("sig").alias("b"), F.col("list").alias("j"), F.col("recs").alias("ys")), ["b", "j"])
+    got = blocks.select("a", "b", "i", "j", "ys", F.explode("xs").alias("x")).select("a", "b", "i", "j", "x", F.explode("ys").alias("y"))
+    got = got.where("a <> b or i <> j or x.n < y.n")
+    return got.select(F.least("x.rec_no", "y.rec_no").alias("rec_no_a"), F.greatest("x.rec_no", "y.rec_no").alias("rec_no_b"))
 
 
 def found(pages: DataFrame) -> DataFrame:
@@ -363,20 +439,25 @@ def groups(sets: DataFrame, t: float = THRESHOLD) -> DataFrame:
 
     Labels spread along links, each round's result checkpointed, until none changes.
     """
-    members = classes(sets)
-    pairs = checkpointed(class_pairs(sets, t).select("a", "b"))
-    both = checkpointed(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = checkpointed(both.groupBy("a").agg(F.count(F.lit(1)).alias("links"), F.least(F.min("b"), F.first("a")).alias("l")))
+    known = checkpointed(classes(sets).select("sig", "class"))
+    pairs = class_pairs(sets, t)
+    named = pairs.join(known.select(F.col("sig").alias("a"), F.col("class").alias("ca")), "a").join(known.select(F.col("sig").alias("b"), F.col("class").alias("cb")), "b")
+    both = checkpointed(named.select(F.inline(F.array(F.struct("a", "b", "cb"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("ca").alias("cb"))))))
+    # a label is (smallest record, its class): two classes may share a record's key
+    label = both.groupBy("a").agg(F.count(F.lit(1)).alias("links"), F.min(F.struct(F.col("cb").alias("c"), F.col("b").alias("s"))).alias("near"))
+    label = checkpointed(label.join(known.withColumnRenamed("sig", "a"), "a").select("a", "links", F.least("near", F.struct(F.col("class").alias("c"), F.col("a").alias("s"))).alias("l")))
     while True:  # a label only falls, so this ends
         near = both.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
         step = label.join(near, "a").select("a", "links", "l", F.least("l", "m").alias("m"))
-        # what a record sees is passed to its label, and the label's own label is taken: long chains shrink in any order
-        hook = step.groupBy(F.col("l").alias("a")).agg(F.min("m").alias("h"))
+        # what a class sees is passed to its label, and the label's own label is taken: long chains shrink in any order
+        hook = step.groupBy(F.col("l.s").alias("a")).agg(F.min("m").alias("h"))
         step = step.join(hook, "a", "left").select("a", "links", "l", F.least("m", "h").alias("m"))
-        jump = step.join(label.select(F.col("a").alias("m"), F.col("l").alias("j")), "m", "left").select("a", "links", F.least("m", F.coalesce("j", "m")).alias("l"), (F.least("m", F.coalesce("j", "m")) < F.col("l")).alias("moved"))
+        jump = step.join(label.select(F.col("a").alias("s"), F.col("l").alias("j")), F.col("m.s") == F.col("s"), "left")
+        jump = jump.select("a", "links", F.least("m", F.coalesce("j", "m")).alias("l"), (F.least("m", F.coalesce("j", "m")) < F.col("l")).alias("moved"))
         jump = checkpointed(jump)
         label = jump.drop("moved")
         if jump.where("moved").isEmpty():
             break
-    got = members.join(label.select(F.col("a").alias("class"), "links", "l"), "class", "left")
-    return got.select("rec_no", "class", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("l", "class").alias("group_id"))
+    got = known.join(label.select(F.col("a").alias("sig"), "links", F.col("l.c").alias("l")), "sig", "left")
+    got = got.select("sig", "class", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("l", "class").alias("group_id"))
+    return sets.select("sig", "rec_no").join(got, "sig").select("rec_no", "class", "links", "group_id")

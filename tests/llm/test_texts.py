@@ -103,8 +103,8 @@ def _edited(seed: int, n: int) -> dict:
     return out | {9001: None, 9002: "", 9003: "w1 w2", 9004: " ".join(f"v{i}" for i in range(20_000)), 9005: " ".join(f"v{i}" for i in range(20_001))}
 
 
-@pytest.mark.parametrize(("t", "block"), [(0.5, 10_000), (0.5, 60), (0.8, 10_000), (0.8, 50)])
-def test_pairs_against_brute_force(spark, t, block):
+@pytest.mark.parametrize(("t", "region"), [(0.5, 1 << 20), (0.5, 2000), (0.8, 1 << 20), (0.8, 2000)])
+def test_pairs_against_brute_force(spark, t, region):
     texts = _edited(int(t * 10), 220)
     df = spark.createDataFrame(list(texts.items()), "k bigint, body string")
     sets = neardup.text_sets(df, "k", "body", 3).cache()
@@ -114,10 +114,48 @@ def test_pairs_against_brute_force(spark, t, block):
     for r in sorted(want):
         first.setdefault(frozenset(want[r]), r)
     reps = set(first.values())
-    got = {(a, b) for a, b, _ in rows(neardup.class_pairs(sets, t, block=block))}
-    assert got == {(a, b) for a, b in pairs if a in reps and b in reps}
-    if block == 10_000:
-        assert set(rows(neardup.record_pairs(sets, t))) == pairs
+    name = {r.sig: r["class"] for r in neardup.classes(sets).collect()}
+    found = rows(neardup.class_pairs(sets, t, region=region))
+    assert {tuple(sorted((name[a], name[b]))) for a, b in found} == {(a, b) for a, b in pairs if a in reps and b in reps}
+    assert len(set(found)) == len(found)
+    if region > 2000:
+        assert rows(neardup.record_pairs(sets, t)) == sorted(pairs)
+
+
+def test_regions_split_by_cells():
+    assert neardup.cells_for(0, 12) == 1 and neardup.cells_for(10**9, 12, 48 << 20) == 10
+
+
+@pytest.mark.parametrize("cells", [1, 4, 64])
+def test_emitted_bytes_are_linear(cells):
+    """Every part travels a number of times that its length bounds, at any number of records."""
+    rng = np.random.default_rng(8)
+
+    def emitted(docs: int) -> int:
+        lines = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 50_000, 200)) for _ in range(docs)])
+        batch = neardup._set_rows(pa.array(np.arange(docs)), lines, np.arange(docs), 3)
+        run = neardup._emitter(np.zeros(1 << 20, np.uint8), 12, cells, 0.5, np.arange(12 * cells))
+        return sum(b.column("part").nbytes for b in run(iter([batch])))
+
+    one, two, four = (emitted(n) / n for n in (200, 400, 800))
+    assert abs(two / one - 1) < 0.03 and abs(four / one - 1) < 0.03
+    assert one < 198 * 6 * min(cells, 198 / 12 / 2 + 2) + 12 * 8 * cells
+
+
+def test_keys_that_occur_twice_lose_no_link(spark):
+    a, b = "uno dos tres cuatro cinco seis siete ocho", "alfa beta gama delta eps zeta eta teta"
+    df = spark.createDataFrame([(1, a), (1, b), (2, b + " iota"), (3, a + " nueve")], "k bigint, body string")
+    sets = neardup.text_sets(df, "k", "body", 3).cache()
+    assert rows(neardup.record_pairs(sets, 0.5)) == [(1, 2), (1, 3)]
+    assert {(r[0], r[3]) for r in rows(neardup.groups(sets, 0.5))} == {(1, 1), (2, 1), (3, 1)}
+    twice = spark.createDataFrame([(1, a), (1, a), (2, a)], "k bigint, body string")
+    assert rows(neardup.record_pairs(neardup.text_sets(twice, "k", "body", 3).cache(), 0.5)) == [(1, 1), (1, 2), (1, 2)]
+
+
+def test_large_class_of_copies(spark):
+    df = spark.range(1300).selectExpr("id as k", "'uno dos tres cuatro cinco seis' as body").union(spark.createDataFrame([(9000, "uno dos tres cuatro cinco seis siete")], "k bigint, body string"))
+    got = neardup.record_pairs(neardup.text_sets(df, "k", "body", 3).cache(), 0.5)
+    assert got.count() == 1301 * 1300 // 2 and got.where("rec_no_a >= rec_no_b").count() == 0
 
 
 def test_copies_and_groups(spark):
@@ -146,7 +184,7 @@ def test_long_chain_is_one_group(spark):
 
 def test_chain_out_of_order_is_one_group(spark, monkeypatch):
     ids = [0, *range(39, 0, -1)]
-    links = spark.createDataFrame([(min(x, y), max(x, y), 0.9) for x, y in zip(ids, ids[1:])], "a bigint, b bigint, similarity double")
+    links = spark.createDataFrame([(min(x, y), max(x, y)) for x, y in zip(ids, ids[1:])], "a bigint, b bigint")
     monkeypatch.setattr(neardup, "class_pairs", lambda *_: links)
     sets = spark.createDataFrame([(i, i) for i in ids], "rec_no bigint, sig bigint")
     assert {r[3] for r in rows(neardup.groups(sets))} == {0}
