@@ -2,10 +2,11 @@
 
 Every truncated suffix (up to ``sigma`` terms) of every record's sequence is routed by its first
 term, sorted in reverse lexicographic order and read once with a stack of ``sigma`` open prefixes:
-a prefix is closed, and its total and record set are final, as soon as a suffix that does not begin
-with it goes by.  Routing is by ranges of (first term, record), so a first term that owns a large share of
+a prefix is closed, and its total and number of records are final, as soon as a suffix that does not begin
+with it goes by.  Records are counted where a row is its record's first under the prefix, so that no set of
+records is held, however many share a term.  Routing is by ranges of (first term, record), so a first term that owns a large share of
 the rows is cut at record boundaries; the partial counts of one gram in several ranges concern
-disjoint records and are simply added.
+disjoint records and are simply added (a row a gram and range goes through that last shuffle).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,69 +34,63 @@ def _changes(cols: list[pa.Array], n: int) -> np.ndarray:
 
 
 def _stack(sigma: int, schema: pa.Schema):
-    """Streams sorted suffixes; the state kept across batches is one open prefix for each length."""
+    """Streams sorted suffixes; the state kept across batches is four values for each length.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[tuple | None] = [None] * sigma  # (prefix, cf, records) by length
+    Columns: the terms, the record, its weight, and for each length but the longest whether the row is the first
+    of its record under that prefix.  Under the longest prefix records come sorted, so a record is new where
+    it differs from the one before.
+    """
+    kind = schema.field(0).type
 
-        def closed(level: int) -> tuple[list, list[int], list[int]]:
-            e, stack[level] = stack[level], None
-            return ([list(e[0])], [e[1]], [len(e[2])]) if e else ([], [], [])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple | None] = [None] * sigma  # (prefix, cf, df, last record) by length
 
-        def batch_of(grams, cf, df) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(grams, schema.field(0).type), pa.array(cf, pa.int64()), pa.array(df, pa.int64())], schema=schema)
+        def told(level: int) -> pa.RecordBatch:
+            prefix, cf, df, _ = held[level]
+            return pa.record_batch([pa.array([list(prefix)], kind), pa.array([cf], pa.int64()), pa.array([df], pa.int64())], schema=schema)
 
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             cols = [batch.column(i) for i in range(sigma)]
-            record, weight = batch.column(sigma).to_numpy(zero_copy_only=False), batch.column(sigma + 1).to_numpy(zero_copy_only=False)
+            record, weight = (batch.column(sigma + i).to_numpy(zero_copy_only=False) for i in range(2))
             differs = np.zeros(n, bool)
             for level in range(sigma):
                 differs |= _changes([cols[level]], n)
+                # rows too short for this length close nothing: they follow the longer ones of their prefix
                 live = np.flatnonzero(pc.is_valid(cols[level]).to_numpy(zero_copy_only=False))
                 if not len(live):
                     continue
-                # rows too short for this length close nothing: they follow the longer ones of their prefix
                 seg = np.cumsum(differs)[live]
                 first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-                cf = np.add.reduceat(weight[live], first)
-                number = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(live)]))
-                order = np.lexsort((record[live], number))
-                s, r = number[order], record[live][order]
-                fresh = np.r_[True, (s[1:] != s[:-1]) | (r[1:] != r[:-1])]
-                df = np.bincount(s[fresh], minlength=len(first))
                 at = live[first]
                 prefix = lambda i: tuple(c[int(at[i])].as_py() for c in cols[: level + 1])  # noqa: B023, E731
-                last = len(first) - 1
-                records = lambda i: r[fresh & (s == i)]  # noqa: B023, E731
-                grams, totals, sizes = [], [], []
-                begin = 0
-                if stack[level]:
-                    if stack[level][0] == prefix(0):
-                        p, c, seen = stack[level]
-                        stack[level] = (p, c + int(cf[0]), np.union1d(seen, records(0)))
-                        begin = 1
-                    if last >= begin:
-                        grams, totals, sizes = closed(level)
-                if last >= begin:
-                    stack[level] = (prefix(last), int(cf[last]), records(last))
-                    done = slice(begin, last)
-                    take = pa.array(at[done])
-                    parts = [pc.take(c, take) for c in cols[: level + 1]]
-                    width = level + 1
-                    if grams:
-                        yield batch_of(grams, totals, sizes)
-                    k = last - begin
-                    if k:
-                        flat = pc.take(pa.concat_arrays(parts), pa.array((np.arange(k)[:, None] + k * np.arange(width)[None, :]).reshape(-1)))
-                        rows = pa.ListArray.from_arrays(pa.array(np.arange(0, k * width + 1, width), pa.int32()), flat)
-                        yield pa.record_batch([rows.cast(schema.field(0).type), pa.array(cf[done].astype(np.int64)), pa.array(df[done].astype(np.int64))], schema=schema)
+                goes_on = held[level] is not None and held[level][0] == prefix(0)
+                rec = record[live]
+                if level < sigma - 1:
+                    new = batch.column(sigma + 2 + level).to_numpy(zero_copy_only=False)[live].astype(np.int64)
+                else:
+                    new = np.r_[True, rec[1:] != rec[:-1]].astype(np.int64)
+                    new[first] = 1
+                    if goes_on and rec[0] == held[level][3]:
+                        new[0] = 0
+                cf, df = np.add.reduceat(weight[live], first), np.add.reduceat(new, first)
+                if goes_on:
+                    cf[0] += held[level][1]
+                    df[0] += held[level][2]
+                elif held[level] is not None:
+                    yield told(level)
+                last, width = len(first) - 1, level + 1
+                held[level] = (prefix(last), int(cf[last]), int(df[last]), rec[-1])
+                if last:
+                    take = pa.array(at[:last])
+                    flat = pc.take(pa.concat_arrays([pc.take(c, take) for c in cols[:width]]), pa.array((np.arange(last)[:, None] + last * np.arange(width)[None, :]).reshape(-1)))
+                    grams = pa.ListArray.from_arrays(pa.array(np.arange(0, last * width + 1, width), pa.int32()), flat)
+                    yield pa.record_batch([grams.cast(kind), pa.array(cf[:last].astype(np.int64)), pa.array(df[:last])], schema=schema)
         for level in range(sigma):
-            g, c, d = closed(level)
-            if g:
-                yield batch_of(g, c, d)
+            if held[level] is not None:
+                yield told(level)
 
     return run
 
@@ -104,9 +99,12 @@ def gram_counts(suffixes: DataFrame, sigma: int, term_type: T.DataType) -> DataF
     """(gram, cf, df) from rows (s0, ..., record, weight): total weight and number of records."""
     s = [f"s{i}" for i in range(sigma)]
     ranged = suffixes.repartitionByRange("s0", "record")
-    # equal rows of a record are one; the range partitioning serves this aggregate without a shuffle
+    # equal rows of a record are one; the range partitioning serves this aggregate, and the windows, without a shuffle
     rows = ranged.groupBy(*s, "record", "part").agg(F.first("weight").alias("weight")).drop("part") if "part" in suffixes.columns else ranged
-    rows = rows.select(*s, "record", "weight").sortWithinPartitions(*[F.col(c).desc_nulls_last() for c in s], "record")
+    # rows of a first term and record lie in one partition: one sort numbers them under each of their prefixes
+    number = lambda k: F.row_number().over(Window.partitionBy("s0", "record", *s[1:k]).orderBy(*s[k:]))
+    rows = rows.select(*s, "record", "weight", *[(number(k) == 1).alias(f"f{k}") for k in range(1, sigma)])
+    rows = rows.sortWithinPartitions(*[F.col(c).desc_nulls_last() for c in s], "record")
     out = T.StructType([T.StructField("gram", T.ArrayType(term_type)), T.StructField("cf", T.LongType()), T.StructField("df", T.LongType())])
     kind = {"bigint": pa.int64(), "string": pa.string()}[term_type.simpleString()]
     schema = pa.schema([("gram", pa.list_(kind)), ("cf", pa.int64()), ("df", pa.int64())])

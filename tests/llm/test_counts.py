@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import rows
@@ -56,6 +58,22 @@ def test_stack_across_batches():
         assert sorted((r["gram"][0], r["cf"], r["df"]) for r in out) == [(1, 14, 7), (5, 14, 7), (9, 14, 7)]
 
 
+def test_stack_time_is_linear():
+    """Four million rows of one term: the state does not grow with its records."""
+    schema = pa.schema([("gram", pa.list_(pa.int64())), ("cf", pa.int64()), ("df", pa.int64())])
+    n, size = 4_000_000, 10_000
+    term, weight = pa.array(np.full(size, 7)), pa.array(np.ones(size, np.int64))
+    batches = (pa.record_batch([term, pa.array(np.arange(i, i + size) // 2), weight], names=["s0", "record", "weight"]) for i in range(0, n, size))
+    began = time.process_time()
+    assert [r for b in ngrams._stack(1, schema)(batches) for r in b.to_pylist()] == [{"gram": [7], "cf": n, "df": n // 2}]
+    assert time.process_time() - began < 3
+
+
+def test_phrases_of_a_key_read_twice(spark):
+    df = spark.createDataFrame([(1, "a b a"), (1, "a b a"), (2, "a b")], "k bigint, t string")
+    assert {" ".join(g): (cf, n) for g, cf, n in rows(ngrams.phrase_counts(df, "k", "t", 2))} == {"a": (5, 2), "b": (3, 2), "a b": (3, 2), "b a": (2, 1)}
+
+
 RUN = "qid string, model string, docno string, score double, extra string"
 
 
@@ -87,7 +105,7 @@ def test_head_across_batches():
 
 
 def test_best_terms(spark):
-    data = [(1, 1, 2), (1, 2, 2), (2, 1, 1), (3, 1, 1), (3, 3, 4), (4, 3, 4), (None, 9, 1), (5, None, 1), (3, 3, 4)]
+    data = [(1, 1, 2), (1, 2, 2), (2, 1, 1), (3, 1, 1), (3, 3, 4), (4, 3, 4), (None, 9, 1), (5, None, 1), (3, 3, 4), (4, 3, 9), (2, 1, 3)]
     df = spark.createDataFrame([(t, d, f, "", 0) for t, d, f in data], POST)
     posts = {(t, d, f) for t, d, f in data if t is not None and d is not None}
     n, dfs = len({d for _, d, _ in posts}), Counter(t for t, _ in {(t, d) for t, d, _ in posts})
@@ -108,9 +126,10 @@ def test_scores_of_zero_frequencies(spark):
 
 def test_hot_term_is_joined_apart(spark):
     df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).cast("bigint").alias("term_id"), (F.col("id") % 4000).alias("docid"), F.lit(1).cast("bigint").alias("freq"))
-    got, _ = weights.with_df(weights.postings(df))
+    once = weights.pairs(df)
+    got = weights.with_df(once)
     want = df.select("term_id", "docid").distinct().groupBy("term_id").count()
-    assert got.join(want, "term_id").where("df <> count").count() == 0 and got.count() == 9000
+    assert got.join(want, "term_id").where("df <> count").count() == 0 and got.count() == once.count()
 
 
 def test_types_are_kept(spark):
