@@ -14,8 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# fixed value: the tokens of a query
 _LEX = re.compile(r"\(|\)|AND|OR|NOT|\w+")
-_RANK = {"NOT": 3, "AND": 2, "OR": 1}
 
 
 @dataclass(frozen=True)
@@ -30,83 +30,81 @@ def lex(query: str) -> list[str]:
     return _LEX.findall(query)
 
 
-def to_postfix(tokens: list[str]) -> list[str]:
-    out, held = [], []
-    for t in tokens:
-        if t in _RANK:
-            while held and held[-1] in _RANK and _RANK[held[-1]] >= _RANK[t]:
-                out.append(held.pop())
-            held.append(t)
-        elif t == "(":
-            held.append(t)
-        elif t == ")":
-            while held and held[-1] != "(":
-                out.append(held.pop())
-            if held:
-                held.pop()
-        else:
-            out.append(t)
-    return out + held[::-1]
-
-
 def parse(query: str, strict: bool = False) -> Node:
     """The query's tree; an empty query matches nothing."""
-    tokens = lex(query)
-    if strict:
-        if tokens.count("(") != tokens.count(")"):
-            raise ValueError("unbalanced parentheses")
-        tokens = [x for i, t in enumerate(tokens) for x in (("AND", "NOT") if t == "NOT" and i and tokens[i - 1] not in ("AND", "OR", "NOT", "(") else (t,))]
-        return _strict(tokens)
-    stack: list[Node] = []
-    for t in to_postfix(tokens):
-        need = 1 if t == "NOT" else 2
-        if t in _RANK and len(stack) < need:
-            raise ValueError(f"{t} lacks an operand")
-        if t == "NOT":
-            stack.append(Node("NOT", (stack.pop(),)))
-        elif t in _RANK:
-            b, a = stack.pop(), stack.pop()
-            stack.append(Node(t, (a, b)))
-        else:
-            stack.append(Node("EMPTY") if t == "(" else Node("TERM", term=t))
-    return stack[-1] if stack else Node("EMPTY")
-
-
-def _strict(tokens: list[str]) -> Node:
-    at = 0
-
-    def unit() -> Node:
-        nonlocal at
-        if at >= len(tokens):
-            raise ValueError("the query ends early")
-        t = tokens[at]
-        at += 1
-        if t == "NOT":
-            return Node("NOT", (unit(),))
-        if t == "(":
-            got = chain("OR")
-            if at >= len(tokens) or tokens[at] != ")":
+    p = _Parser(lex(query), strict)
+    while p.at < len(p.tokens):
+        p.level("OR", "AND")
+        if p.take(")") and strict:
+            raise ValueError("unexpected )")
+    if strict and len(p.known) > 1:
+        raise ValueError("terms without an operator between them")
+    return p.known[-1] if p.known else Node("EMPTY")
+
+
+class _Parser:
+    """Recursive descent; finished operands lie on ``known``, and an operator takes its own from there.
+
+    Loose queries may leave operands over, or name several where one is expected: an operator then
+    takes the latest.  A parenthesis that is never closed stands for nothing, behind what it holds.
+    """
+
+    def __init__(self, tokens: list[str], strict: bool):
+        if strict:  # a NOT b: a AND NOT b
+            tokens = [x for i, t in enumerate(tokens) for x in (("AND", "NOT") if t == "NOT" and i and tokens[i - 1] not in ("AND", "OR", "NOT", "(") else (t,))]
+        self.tokens, self.strict, self.at, self.known = tokens, strict, 0, []
+
+    def take(self, token: str) -> bool:
+        found = self.tokens[self.at : self.at + 1] == [token]
+        self.at += found
+        return found
+
+    def apply(self, op: str) -> None:
+        n = 1 if op == "NOT" else 2
+        if len(self.known) < n:
+            raise ValueError(f"{op} lacks an operand")
+        self.known[-n:] = [Node(op, tuple(self.known[-n:]))]
+
+    def level(self, op: str | None = None, *higher: str) -> None:
+        if op is None:
+            return self.unit() if self.strict else self.operands(True)
+        self.level(*higher)
+        while self.take(op):
+            self.level(*higher)
+            self.apply(op)
+
+    def operands(self, negated: bool) -> None:
+        """Terms and groups up to the next operator; with ``negated`` also their negations."""
+        while self.at < len(self.tokens) and self.tokens[self.at] not in ("AND", "OR", ")"):
+            if self.tokens[self.at] != "NOT":
+                self.primary()
+            elif negated:
+                self.at += 1
+                self.operands(False)
+                self.apply("NOT")
+            else:
+                return
+
+    def primary(self) -> None:
+        if not self.take("("):
+            self.known.append(Node("TERM", term=self.tokens[self.at]))
+            self.at += 1
+            return
+        self.level("OR", "AND")
+        if not self.take(")"):
+            if self.strict:
                 raise ValueError("missing )")
-            at += 1
-            return got
-        if t in ("AND", "OR", ")"):
-            raise ValueError(f"unexpected {t}")
-        return Node("TERM", term=t)
-
-    def chain(op: str) -> Node:
-        nonlocal at
-        got = unit() if op == "AND" else chain("AND")
-        while at < len(tokens) and tokens[at] == op:
-            at += 1
-            got = Node(op, (got, unit() if op == "AND" else chain("AND")))
-        return got
-
-    if not tokens:
-        return Node("EMPTY")
-    got = chain("OR")
-    if at < len(tokens):
-        raise ValueError(f"unexpected {tokens[at]}")
-    return got
+            self.known.append(Node("EMPTY"))
+
+    def unit(self) -> None:
+        """Exactly one operand."""
+        if self.take("NOT"):
+            self.unit()
+            self.apply("NOT")
+        elif self.tokens[self.at : self.at + 1] in ([], ["AND"], ["OR"], [")"]):
+            raise ValueError("an operator lacks an operand")
+        else:
+            self.primary()
 
 
 def terms(node: Node) -> set[str]:

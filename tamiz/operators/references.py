@@ -6,8 +6,9 @@ interval begun so far is carried along, and a reference is alive when that end l
 carried values are running maxima, so no group is buffered.
 
 A key named by more than ``1 / HOT`` of all references is salted: its references are dealt to
-several parts and its (already merged) parent rows are copied to each.  There are fewer than ``HOT``
-such keys by construction, which bounds what is broadcast.
+as many parts as its share asks for, each of at most ``1 / HOT`` of all, and its (already merged) parent rows are
+copied to each.  There are fewer than ``HOT`` such keys, and fewer than ``2 HOT`` parts, by construction,
+which bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT, PARTS = 1000, 64
+HOT = 1000
 _END = "timestamp'9999-12-31 00:00:00'"
 
 
@@ -50,9 +51,10 @@ def resolve(refs: DataFrame, known: DataFrame) -> DataFrame:
     """
     keys = ["ref_field", "ref_key"]
     n = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = n.where(F.col("n") * HOT > refs.select(F.count(F.lit(1))).scalar()).select(*keys, F.lit(PARTS).alias("parts"))
+    total = refs.select(F.count(F.lit(1))).scalar()
+    hot = n.where(F.col("n") * HOT > total).select(*keys, F.ceil(F.col("n") * HOT / total).cast("int").alias("parts"))
     hot = F.broadcast(hot)  # fewer than HOT rows
-    left = refs.join(hot, keys, "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")).drop("parts")
+    left = refs.join(hot, keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
     first = known.groupBy(*keys).agg(F.min("begin").alias("first_begin"))
     events = known.select(*keys, F.col("begin").alias("at"), F.lit(1).alias("kind"), F.coalesce("end", F.expr(f"cast({_END} as timestamp_ntz)")).alias("until"), F.lit(None).cast("timestamp_ntz").alias("first_begin"))
     # the summary row of a key comes before everything else of it

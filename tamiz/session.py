@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,16 @@ CHECKPOINT = "spark.checkpoint.dir"
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset, a session on one machine gets a temporary
+    one; on a cluster, where such a folder would not be shared, it is an error.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get(CHECKPOINT) or tempfile.mkdtemp(prefix="tamiz-checkpoint-")
+        folder = sc.getConf().get(CHECKPOINT)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError(f"{CHECKPOINT} must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tamiz-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
