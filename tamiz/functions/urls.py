@@ -54,6 +54,17 @@ def under_seed(url: Column | str, seeds: Column) -> Column:
     return F.exists(seeds, lambda s: (a == s) | a.endswith(F.concat(F.lit("."), s)))
 
 
+_ANCHOR = r"""(?i)<a(?:\s[^>]*)?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
 def hrefs(html: Column | str) -> Column:
-    """Raw targets of anchors in well-formed HTML, in order, repeats kept."""
-    return F.regexp_extract_all(_c(html), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
+    """Targets of anchors in well-formed HTML, quoted or not, in order, repeats kept, the five named entities of markup resolved."""
+
+    def plain(v: Column) -> Column:
+        v = F.regexp_replace(v, r"""^(["'])(.*)\1$""", "$2")
+        for e, c in _ENTITIES:
+            v = F.replace(v, F.lit(e), F.lit(c))
+        return v
+
+    return F.transform(F.regexp_extract_all(_c(html), F.lit(_ANCHOR), F.lit(1)), plain)
