@@ -16,6 +16,7 @@ pages give repeated rows; pages of any length are handled whole.
 
 from __future__ import annotations
 
+import html
 import io
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,9 +42,10 @@ class Lines:
         flat = parts.flatten()
         size = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         if len(flat) and pc.any(pc.match_substring(flat, "<")).as_py():
-            flat = pc.replace_substring_regex(flat, r"</?[A-Za-z][^<>]{0,60}>", "")
-        if len(flat) and pc.any(pc.match_substring(flat, "&nbsp;")).as_py():
-            flat = pc.replace_substring(flat, "&nbsp;", " ")
+            flat = pc.replace_substring_regex(flat, r"</?[A-Za-z][^<>]*>", "")
+        marked = pc.match_substring_regex(flat, "&#?[0-9A-Za-z]+;") if len(flat) else None
+        if marked is not None and pc.any(marked).as_py():
+            flat = pc.replace_with_mask(flat, marked, pa.array([html.unescape(x) for x in flat.filter(marked).to_pylist()], flat.type))
         flat = pc.utf8_trim_whitespace(flat)
         self.raw = parts.flatten()
         self.page_all = np.repeat(np.arange(len(texts)), size)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,34 @@ def test_cuts_of_many_graphs_are_those_of_each():
     assert (whole == np.concatenate([mincut.source_side(*p) for p in parts])).all()
 
 
+def test_graphs_alone_give_the_same_cuts():
+    rng = np.random.default_rng(2)
+    for _ in range(150):
+        n = int(rng.integers(1, 40))
+        ex, e1, e2 = rng.integers(-9, 10, n), rng.integers(0, 6, n), rng.integers(0, 4, n)
+        e1[n - 1 :], e2[max(n - 2, 0) :] = 0, 0
+        one = mincut.alone(np.maximum(ex, 0), np.maximum(-ex, 0), e1[: n - 1], e1[: n - 1], e2[: max(n - 2, 0)], e2[: max(n - 2, 0)])
+        assert (one == mincut.source_side(ex, e1, e2)).all()
+
+
+@pytest.mark.parametrize("kind", ["one sink", "many sinks", "random"])
+def test_long_chains_take_linear_time(kind):
+    n = 20_000
+    ex = np.ones(n, np.int64)
+    if kind == "one sink":
+        ex[-1] = -9_000
+    elif kind == "many sinks":
+        ex[n // 2 :] = -1
+    else:
+        ex = np.random.default_rng(0).integers(-9000, 9000, n)
+    e1, e2 = np.full(n, 5_000), np.full(n, 250)
+    e1[-1], e2[-2:] = 0, 0
+    began = time.process_time()
+    cut = mincut.source_side(ex, e1, e2)
+    assert time.process_time() - began < 4
+    assert cut.any()
+
+
 def test_furniture_of_a_page(spark):
     text = "rec_no bigint, text string, line_no int, body string"
     df = spark.createDataFrame([(1, PAGE, 9, ""), (2, None, 9, ""), (3, "", 9, ""), (4, " \n\t\n", 9, ""), (5, PAGE.replace("\n", "\r\n"), 9, ""), (None, PAGE, 9, ""), (1, PAGE, 9, "")], text)
@@ -59,6 +88,12 @@ def test_furniture_of_a_page(spark):
     assert body[1].split("\n")[0] == "La consulta larga resume el bloque ordenado" and "©" not in body[1]
 
 
+def test_long_tags_and_entities_are_not_text():
+    link = '<a href="http://x.example/' + "y" * 300 + '" title="z">'
+    lines = bp.Lines(pa.array([f"{link}Inicio</a> · Foro\nR&amp;D &laquo;uno&raquo;&nbsp;\n&nbsp;\na < b y c > d"]))
+    assert lines.distinct.to_pylist() == ["Inicio · Foro", "R&D «uno»", "a < b y c > d"]
+
+
 def test_very_long_page():
     long = "\n".join([PAGE] * 400) + "\n" + "palabra " * 50_000
     lines, cut = bp.furniture(bp.load(bp.weights()), pa.array([long, "x"]))
