@@ -110,12 +110,13 @@ def spearman_ids(run: DataFrame, doc: str, k: int) -> DataFrame:
     return spearman(a.join(b, ["qid", "rank"]).where("model_a < model_b"), ["qid", "model_a", "model_b"])
 
 
-def ranked_run(rows: DataFrame, k: int = 1000) -> DataFrame:
-    """(qid, model, docno, score, rank) of scored results: a document once with its highest score; null and NaN scores and null keys are left out."""
+def ranked_run(rows: DataFrame, k: int | None = None) -> DataFrame:
+    """(qid, model, docno, score, rank) of scored results: a document once with its highest score; null and NaN scores and null keys are left out.  ``k``: only the first k of a topic and model, else all."""
     ok = rows.where("qid is not null and model is not null and docno is not null and score is not null and not isnan(score)")
     one = ok.groupBy("qid", "model", "docno").agg(F.max("score").alias("score"))
     r = F.row_number().over(Window.partitionBy("qid", "model").orderBy(F.desc("score"), "docno"))
-    return one.withColumn("rank", r).where(F.col("rank") <= k)
+    got = one.withColumn("rank", r)
+    return got if k is None else got.where(F.col("rank") <= k)
 
 
 def query_buckets(queries: DataFrame, lengths: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tamiz.functions import text as tx
+from tamiz.operators import skew, stats
+from tamiz.session import checkpointed, shared_folder
+
 _SPAN = 65536
 
 
@@ -16,11 +22,89 @@ def write_index(posts: DataFrame, folder: str) -> None:
     posts.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(folder)
 
 
+def build(docs: DataFrame, folder: str, pattern: str = tx.LETTERS) -> None:
+    """Writes a whole index of ``docs`` (doc_id, text) under ``folder``: what queries need is computed once, here.
+
+    postings: (term, doc_id, tf, doc_len, block), sorted and range-partitioned by term and document; vocab:
+    (term, cf, df); docs: (doc_id, doc_len, norm, log_norm), the norms of both TF-IDF weightings; skips: (term,
+    block, size, first_doc, last_doc), blocks of the whole root of the list's length; totals: one row, written last, which
+    marks the index as complete.
+    """
+    posts = checkpointed(stats.postings(stats.occurrences(docs, pattern)))
+    stats.vocabulary(posts).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/vocab")
+    vocab, lengths = docs.sparkSession.read.parquet(f"{folder}/vocab"), stats.document_lengths(posts)
+    n = docs.count()
+    write_index(_blocked(posts, vocab).join(lengths, "doc_id"), f"{folder}/postings")
+    done = docs.sparkSession.read.parquet(f"{folder}/postings")
+    idf = F.ln(F.lit(float(n)) / F.col("df"))
+    w = skew.join_counts(done, vocab, "term", "df").select("doc_id", "doc_len", (F.col("tf") * idf).alias("w"), ((1.0 + F.ln("tf")) * idf).alias("l"))
+    norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
+    w.groupBy("doc_id").agg(F.first("doc_len").alias("doc_len"), norm("w").alias("norm"), norm("l").alias("log_norm")).write.mode("overwrite").parquet(f"{folder}/docs")
+    skips = done.groupBy("term", "block").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    skips.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{folder}/skips")
+    t = vocab.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("n_tokens"), F.count(F.lit(1)).alias("n_terms"))
+    t.select(F.lit(n).cast("bigint").alias("n_docs"), "n_tokens", "n_terms", F.lit(lengths.count()).cast("bigint").alias("n_full")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
+
+
+def _blocked(posts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Postings with their skip block: position in the list over the whole root of its length.
+
+    Positions come from counts of spans and ranks inside spans, so a long list is not one task's.
+    """
+    cut = posts.withColumn("__s", F.floor(F.col("doc_id") / _SPAN))
+    spans = cut.groupBy("term", "__s").agg(F.count(F.lit(1)).alias("__n"))
+    spans = spans.select("term", "__s", F.coalesce(F.sum("__n").over(Window.partitionBy("term").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    spans = spans.join(vocab.select("term", F.greatest(F.lit(1), F.floor(F.sqrt("df"))).alias("__step")), "term")
+    row = cut.withColumn("__r", F.row_number().over(Window.partitionBy("term", "__s").orderBy("doc_id")))
+    return row.join(spans, ["term", "__s"]).select("term", "doc_id", "tf", F.floor((F.col("__b") + F.col("__r") - 1) / F.col("__step")).cast("int").alias("block"))
+
+
+def stored(spark: SparkSession, docs: DataFrame, key: str, again: bool = False) -> str:
+    """The folder of the index of ``docs``; built if it is not there or is to be built again.
+
+    It lies in the shared checkpoint folder under ``key`` and the files' names, sizes and times, so that another input is
+    another index.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda f: jvm.org.apache.hadoop.fs.Path(f)
+    state = lambda p: (p.toString(), *(lambda s: (s.getLen(), s.getModificationTime()))(p.getFileSystem(conf).getFileStatus(p)))
+    said = hashlib.sha256(repr(sorted(state(at(f)) for f in docs.inputFiles())).encode()).hexdigest()[:16]
+    folder = f"{shared_folder(spark)}/tamiz-index/{key}-{said}"
+    mark = at(f"{folder}/totals/_SUCCESS")
+    if again or not mark.getFileSystem(conf).exists(mark):
+        build(docs, folder)
+    return folder
+
+
 def read_postings(index: DataFrame, *terms: str) -> DataFrame:
     """Postings of some terms; unknown terms have none.  The filter reaches the Parquet scan."""
     return index.where(F.col("term").isin(*terms))
 
 
+def advance(posts: DataFrame, skips: DataFrame, targets: DataFrame) -> DataFrame:
+    """(term, target, doc_id): the first document of a term's list from ``target`` on; null where the list ends before.
+
+    Skips name the one block to read: the first whose last document is not below the target.
+    """
+    at = targets.join(skips, "term").where(F.col("last_doc") >= F.col("target")).groupBy("term", "target").agg(F.min("block").alias("block"))
+    hit = at.join(posts.select("term", "block", "doc_id"), ["term", "block"]).where(F.col("doc_id") >= F.col("target")).groupBy("term", "target").agg(F.min("doc_id").alias("doc_id"))
+    return targets.distinct().join(hit, ["term", "target"], "left").select("term", "target", "doc_id")
+
+
+def skip_and(posts: DataFrame, skips: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id) in the lists of all ``terms``, in the order given: of each further list only blocks that can hold a hit are read.
+
+    Hits and blocks meet on spans of documents; blocks without a hit's document between their ends are skipped.
+    """
+    hits = read_postings(posts, terms[0]).select("doc_id")
+    for t in terms[1:]:
+        spans = F.explode(F.sequence(F.floor(F.col("first_doc") / _SPAN), F.floor(F.col("last_doc") / _SPAN)))
+        block = read_postings(skips, t).select("block", "first_doc", "last_doc", spans.alias("s"))
+        near = hits.withColumn("s", F.floor(F.col("doc_id") / _SPAN)).join(block, "s").where(F.col("doc_id").between(F.col("first_doc"), F.col("last_doc")))
+        hits = near.select("doc_id", "block").join(read_postings(posts, t).select("doc_id", "block"), ["doc_id", "block"]).select("doc_id")
+    return hits
+
+
 def length_stats(vocab: DataFrame) -> DataFrame:
     p = lambda q: F.round(F.percentile("df", q), 6)
     return vocab.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"), F.min("df").alias("min_len"), p(0.5).alias("median_len"), F.round(F.avg("df"), 6).alias("mean_len"), p(0.9).alias("p90_len"), F.max("df").alias("max_len"))
@@ -61,9 +145,12 @@ def gaps(posts: DataFrame) -> DataFrame:
 
 
 def ungapped(rows: DataFrame) -> DataFrame:
-    """(term, doc_id) again from (term, position, gap): running sums of the gaps."""
-    run = F.sum("gap").over(Window.partitionBy("term").orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("term", "position", run.alias("doc_id"))
+    """(term, position, doc_id) again from (term, position, gap): running sums of the gaps, in two steps over spans of positions."""
+    cut = rows.withColumn("__s", F.floor(F.col("position") / _SPAN))
+    spans = cut.groupBy("term", "__s").agg(F.sum("gap").alias("__t"))
+    spans = spans.select("term", "__s", F.coalesce(F.sum("__t").over(Window.partitionBy("term").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    run = F.sum("gap").over(Window.partitionBy("term", "__s").orderBy("position").rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("__r", run).join(spans, ["term", "__s"]).select("term", "position", (F.col("__b") + F.col("__r")).alias("doc_id"))
 
 
 def bit_length(n: Column) -> Column:

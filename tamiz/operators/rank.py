@@ -1,13 +1,13 @@
 """Ranked retrieval over postings: TF-IDF cosines, BM25, language models.
 
-Every model is one plan: query terms joined with postings, a score a posting, a sum for each (query, document)
-that combines before the shuffle, and the best ``k`` by window (pruned before its shuffle).
-Queries are the small side; they are broadcast only when their size is under a limit.
+Every model is one plan: query terms joined with the vocabulary, then with postings that carry their document's length, a
+score a posting, a sum for each (query, document) that combines before the shuffle, and the best ``k`` by window
+(pruned before its shuffle).  Queries are the small side; they are broadcast only when their size is under a limit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamiz.functions import text as tx
@@ -16,23 +16,30 @@ from tamiz.session import broadcast_if_small
 
 
 class Index:
-    """Postings with their vocabulary, document lengths and collection totals."""
+    """Postings with their vocabulary, document lengths and collection totals; made here from postings, or read from a stored index."""
 
     def __init__(self, posts: DataFrame, docs: DataFrame):
-        self.posts, self.docs = posts, docs
         self.vocab, self.lengths = stats.vocabulary(posts), stats.document_lengths(posts)
-
-    @property
-    def n_docs(self) -> Column:
-        return self.docs.select(F.count(F.lit(1)).cast("double")).scalar()
-
-    @property
-    def n_tokens(self) -> Column:
-        return self.posts.agg(F.sum("tf").cast("double")).scalar()
-
-    @property
-    def mean_length(self) -> Column:
-        return self.lengths.agg(F.avg("doc_len")).scalar()
+        self.posts = posts.join(self.lengths, "doc_id")
+        self.n_docs = docs.select(F.count(F.lit(1)).cast("double")).scalar()
+        self.n_tokens = posts.agg(F.sum("tf").cast("double")).scalar()
+        self.mean_length = self.lengths.agg(F.avg("doc_len")).scalar()
+        self.norms: DataFrame | None = None
+
+    @classmethod
+    def stored(cls, spark: SparkSession, folder: str) -> "Index":
+        """Of :func:`tamiz.operators.index.build`: lengths lie beside the postings, norms beside the documents."""
+        got = cls.__new__(cls)
+        got.posts, got.vocab, got.norms = (spark.read.parquet(f"{folder}/{t}") for t in ("postings", "vocab", "docs"))
+        got.lengths = got.norms.select("doc_id", "doc_len")
+        t = spark.read.parquet(f"{folder}/totals").first()
+        got.n_docs, got.n_tokens, got.mean_length = F.lit(float(t.n_docs)), F.lit(float(t.n_tokens)), F.lit(t.n_tokens / max(t.n_full, 1))
+        return got
+
+    def of(self, queries: DataFrame) -> DataFrame:
+        """(qid, term, qtf, cf, df, doc_id, tf, doc_len) of the queries' terms: they meet the vocabulary first, then postings."""
+        q = broadcast_if_small(queries).join(self.vocab, "term")
+        return self.posts.select("term", "doc_id", "tf", "doc_len").join(broadcast_if_small(q), "term")
 
 
 def query_terms(topics: DataFrame, pattern: str = tx.LETTERS, least: int = 1, most: int = 1 << 30) -> DataFrame:
@@ -47,63 +54,55 @@ def latest_topics(rows: DataFrame) -> DataFrame:
     return q.groupBy("qid").agg(F.max_by("query", F.struct("read_at", "query")).alias("query"))
 
 
-def best(scores: DataFrame, k: int, tie: str = "asc") -> DataFrame:
-    """(qid, doc_id, score, rank): the first k by score rounded to 8 places, then document."""
+def best(scores: DataFrame, k: int | None, tie: str = "asc") -> DataFrame:
+    """(qid, doc_id, score, rank): the first k (None: all) by score rounded to 8 places, then document."""
     s = scores.withColumn("score", F.round("score", 8))
     doc = F.col("doc_id").desc() if tie == "desc" else F.col("doc_id").asc()
-    r = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), doc))
-    return s.withColumn("rank", r).where(F.col("rank") <= k).select("qid", "doc_id", "score", "rank")
-
+    got = s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), doc)))
+    return (got if k is None else got.where(F.col("rank") <= k)).select("qid", "doc_id", "score", "rank")
 
-def _weighted(index: Index, log_tf: bool) -> DataFrame:
-    idf = index.vocab.select("term", F.ln(index.n_docs / F.col("df")).alias("idf"))
-    tf = (1.0 + F.ln("tf")) if log_tf else F.col("tf").cast("double")
-    return index.posts.join(idf, "term").select("term", "doc_id", "idf", (tf * F.col("idf")).alias("w"))
 
-
-def cosine(index: Index, queries: DataFrame, k: int = 10, log_tf: bool = False) -> DataFrame:
+def cosine(index: Index, queries: DataFrame, k: int | None = 10, log_tf: bool = False) -> DataFrame:
     """TF-IDF cosine; ``log_tf``: 1 + ln tf for tf.  Zero norms give score 0 (documents of terms found everywhere)."""
-    w = _weighted(index, log_tf)
-    norms = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    qtf = (1.0 + F.ln("qtf")) if log_tf else F.col("qtf").cast("double")
-    idf = index.vocab.select("term", F.ln(index.n_docs / F.col("df")).alias("idf"))
-    q = queries.join(idf, "term").select("qid", "term", (qtf * F.col("idf")).alias("wq"))
+    damp = (lambda c: 1.0 + F.ln(c)) if log_tf else (lambda c: F.col(c).cast("double"))
+    idf = F.ln(index.n_docs / F.col("df"))
+    if index.norms is None:
+        w = index.posts.join(index.vocab, "term").select("doc_id", (damp("tf") * idf).alias("w"))
+        norms = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    else:
+        norms = index.norms.select("doc_id", F.col("log_norm" if log_tf else "norm").alias("norm"))
+    q = queries.join(index.vocab, "term").select("qid", (damp("qtf") * idf).alias("wq"))
     q_norm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q_norm"))
-    dot = w.join(broadcast_if_small(q), "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
+    dot = index.of(queries).groupBy("qid", "doc_id").agg(F.sum(damp("tf") * idf * damp("qtf") * idf).alias("dot"))
     s = dot.join(norms, "doc_id").join(broadcast_if_small(q_norm), "qid")
     return best(s.select("qid", "doc_id", F.coalesce(F.try_divide("dot", F.col("norm") * F.col("q_norm")), F.lit(0.0)).alias("score")), k, "desc")
 
 
-def _joined(index: Index, queries: DataFrame) -> DataFrame:
-    q = broadcast_if_small(queries)
-    return index.posts.join(q, "term").join(index.vocab, "term").join(index.lengths, "doc_id")
-
-
-def bm25(index: Index, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(index: Index, queries: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Robertson's BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    j = _joined(index, queries)
+    j = index.of(queries)
     idf = F.ln(1.0 + (index.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("doc_len") / index.mean_length))
     return best(j.groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * idf * tf).alias("score")), k)
 
 
-def tf_idf(index: Index, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def tf_idf(index: Index, queries: DataFrame, k: int | None = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Robertson's tf times ln(N / df + 1)."""
-    j = _joined(index, queries)
+    j = index.of(queries)
     tf = k1 * F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("doc_len") / index.mean_length))
     return best(j.groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * tf * F.ln(index.n_docs / F.col("df") + 1.0)).alias("score")), k)
 
 
-def hiemstra(index: Index, queries: DataFrame, k: int = 10, lam: float = 0.5) -> DataFrame:
+def hiemstra(index: Index, queries: DataFrame, k: int | None = 10, lam: float = 0.5) -> DataFrame:
     """Hiemstra's language model, ``lam`` on the document: sum of ln(1 + lam tf T / ((1 - lam) cf |d|))."""
-    j = _joined(index, queries)
+    j = index.of(queries)
     x = F.ln(1.0 + lam * F.col("tf") * index.n_tokens / ((1.0 - lam) * F.col("cf") * F.col("doc_len")))
     return best(j.groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * x).alias("score")), k)
 
 
-def dirichlet(index: Index, queries: DataFrame, k: int = 10, mu: float = 2500.0) -> DataFrame:
+def dirichlet(index: Index, queries: DataFrame, k: int | None = 10, mu: float = 2500.0) -> DataFrame:
     """Dirichlet smoothing (Zhai and Lafferty): sum of ln(1 + tf T / (mu cf)) plus |q| ln(mu / (|d| + mu))."""
-    j = _joined(index, queries)
+    j = index.of(queries)
     size = broadcast_if_small(queries.groupBy("qid").agg(F.sum("qtf").alias("q_len")))
     x = F.ln(1.0 + F.col("tf") * index.n_tokens / (mu * F.col("cf")))
     s = j.groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * x).alias("s"), F.first("doc_len").alias("doc_len")).join(size, "qid")
@@ -113,7 +112,7 @@ def dirichlet(index: Index, queries: DataFrame, k: int = 10, mu: float = 2500.0)
 GRID = (("tf_idf", None), ("bm25", None), ("hiemstra", 0.2), ("hiemstra", 0.5), ("hiemstra", 0.9), ("dirichlet", 50.0), ("dirichlet", 500.0), ("dirichlet", 2500.0))
 
 
-def grid(index: Index, queries: DataFrame, k: int = 10, settings=GRID) -> DataFrame:
+def grid(index: Index, queries: DataFrame, k: int | None = 1000, settings=GRID) -> DataFrame:
     """(model, param, qid, doc_id, score, rank) of every setting."""
     out = None
     for model, x in settings:

@@ -62,3 +62,20 @@ def length_audit(postings: DataFrame, stored: DataFrame) -> DataFrame:
         .otherwise("stale")
     )
     return both.select("index_no", "term_id", n.alias("length"), "stored_min", "stored_max", state.alias("state"))
+
+
+HOT = 2000
+
+
+def join_counts(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with a table of one row a key, whose ``count`` says how many rows the key has.
+
+    Keys that own more than ``1 / HOT`` of all rows are joined by broadcast (fewer than ``HOT`` of them), the others by a shuffle that
+    such keys cannot skew.  Rows of unknown keys are left out.
+    """
+    total = per_key.agg(F.sum(count)).scalar()
+    hot = F.broadcast(per_key.where(F.col(count) * HOT > total))
+    known = [c for c in per_key.columns if c != key]
+    marked = rows.join(hot, key, "left")
+    cold = marked.where(F.col(count).isNull()).drop(*known).join(per_key.where(F.col(count) * HOT <= total), key)
+    return marked.where(F.col(count).isNotNull()).unionByName(cold)

@@ -1,20 +1,36 @@
-"""Boolean and ranked retrieval over ``documents`` by the topics of ``read_queries``; evaluation of ``run_results``; their SQL."""
+"""Boolean and ranked retrieval over ``documents`` by the topics of ``read_queries``; evaluation of ``run_results``; their SQL.
+
+Retrieval reads a stored index of ``documents``, which is built on first use; the model grid is run on the postings of
+``posting_chunk`` and evaluated on ``read_qrels``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamiz.functions import text as tx
 from tamiz.operators import boolean, evaluate, rank
+from tamiz.operators import index as ix
 from tamiz.plans import lexical_queries as lx
-from tamiz.session import table
+from tamiz.session import checkpointed, table
 
 ENTRY_QUERY = "the of and"
 
 
+def _folder(spark: SparkSession, d: str) -> str:
+    return ix.stored(spark, lx.docs(spark, d), "documents")
+
+
 def _index(spark: SparkSession, d: str) -> rank.Index:
-    return rank.Index(lx.posts(spark, d), lx.docs(spark, d))
+    return rank.Index.stored(spark, _folder(spark, d))
+
+
+def _part(name: str):
+    return lambda s, d: s.read.parquet(f"{_folder(s, d)}/{name}")
+
+
+_posts, _skips = _part("postings"), _part("skips")
 
 
 def _topics(spark: SparkSession, d: str) -> DataFrame:
@@ -32,19 +48,60 @@ def tfidf_topk(spark: SparkSession, d: str, query: str = ENTRY_QUERY, k: int = 1
 
 
 def _bool(query: str, strict: bool = False):
-    return lambda s, d: boolean.search(query, lx.posts(s, d), lx.docs(s, d), strict)
+    return lambda s, d: boolean.search(query, _posts(s, d), lx.docs(s, d), strict)
 
 
 def _bool_batch(spark: SparkSession, d: str) -> DataFrame:
-    """(qid, n_and, n_or, n_not): result sizes of the three forms for every topic of two known terms."""
-    p = lx.posts(spark, d)
+    """(qid, form, n): result sizes of the three forms for every topic of two or three distinct known terms."""
+    index = _index(spark, d)
     words = _topics(spark, d).select("qid", tx.tokens("query").alias("words"))
-    known = boolean.known_queries(words.where(F.size(F.array_distinct("words")) == 2), lx.vocab(spark, d), (2,))
-    t = known.select("qid", F.posexplode("words").alias("i", "term"))
-    hits = p.join(rank.broadcast_if_small(t), "term").groupBy("qid", "doc_id").agg(F.max(F.col("i") == 0).alias("a"), F.max(F.col("i") == 1).alias("b"))
-    n = hits.groupBy("qid").agg(F.count_if(F.expr("a and b")).alias("n_and"), F.count(F.lit(1)).alias("n_or"), F.count_if("b").alias("n_b"))
+    known = boolean.known_queries(words.where(F.size(F.array_distinct("words")) == F.size("words")), index.vocab)
+    t = known.select("qid", F.size("words").alias("size"), F.posexplode("words").alias("i", "term"))
+    has = lambda i: F.max(F.col("i") == i).alias("abc"[i])
+    hits = index.posts.select("term", "doc_id").join(rank.broadcast_if_small(t), "term").groupBy("qid", "size", "doc_id").agg(has(0), has(1), has(2))
+    count = lambda e: F.count_if(F.expr(e))
+    n = hits.groupBy("qid", "size").agg(count("a and b").alias("ab"), F.count(F.lit(1)).alias("any"), count("b").alias("b"), count("a and b and c").alias("abc"), count("(a or b) and not c").alias("or_not"), count("a and b or c").alias("and_or"))
     total = lx.docs(spark, d).select(F.countDistinct("doc_id")).scalar()
-    return n.select("qid", "n_and", "n_or", (total - F.col("n_b")).alias("n_not"))
+    forms = lambda *f: F.array(*[F.struct(F.lit(k).alias("form"), v.alias("n")) for k, v in f])
+    two = forms(("a AND b", F.col("ab")), ("a OR b", F.col("any")), ("a NOT b", total - F.col("b")))
+    three = forms(("a AND b AND c", F.col("abc")), ("(a OR b) NOT c", F.col("or_not")), ("(a AND b) OR c", F.col("and_or")))
+    return n.select("qid", F.inline(F.when(F.col("size") == 2, two).otherwise(three)))
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth document as a target in three lists."""
+    at = lx.docs(spark, d).where("doc_id % 100 = 0").select("doc_id").distinct()
+    return at.select(F.explode(F.array(*map(F.lit, ("memoria", "disco", "bloque")))).alias("term"), F.col("doc_id").alias("target"))
+
+
+def _skip_check(spark: SparkSession, d: str) -> DataFrame:
+    """(n_linear, n_skip): the sizes of a conjunction found on whole lists and by skips."""
+    terms = ["memoria", "disco", "bloque"]
+    linear = boolean.search(" AND ".join(terms), _posts(spark, d), lx.docs(spark, d))
+    n = lambda df: df.select(F.count(F.lit(1))).scalar()
+    return spark.range(1).select(n(linear).alias("n_linear"), n(ix.skip_and(_posts(spark, d), _skips(spark, d), terms)).alias("n_skip"))
+
+
+def _named(spark: SparkSession, d: str) -> tuple[rank.Index, DataFrame]:
+    """The index of ``posting_chunk`` with the terms of ``term_dict``, and its documents' names."""
+    words = table(spark, d, "term_dict").where("term is not null").groupBy(F.lower("term").alias("term")).agg(F.min("term_id").alias("term_id"))
+    rows = table(spark, d, "posting_chunk").where("term_id is not null and docid is not null and freq > 0").groupBy("term_id", F.col("docid").alias("doc_id")).agg(F.max("freq").alias("tf"))
+    posts = rows.join(rank.broadcast_if_small(words), "term_id").select("term", "doc_id", "tf")
+    names = table(spark, d, "doc_index").where("docno is not null").select(F.col("docid").alias("doc_id"), "docno")
+    return rank.Index(checkpointed(posts), rows.select("doc_id").distinct()), names
+
+
+def _grid_run(spark: SparkSession, d: str) -> DataFrame:
+    """(model, param, qid, docno, rank): the first thousand documents of every setting, by name; a name counts once, with its best rank."""
+    index, names = _named(spark, d)
+    got = rank.grid(index, _terms(spark, d)).join(names, "doc_id").groupBy("model", "param", "qid", "docno").agg(F.min("rank").alias("first"))
+    again = Window.partitionBy("model", "param", "qid").orderBy("first")
+    return got.select("model", "param", "qid", "docno", F.row_number().over(again).alias("rank"))
+
+
+def _grid_means(spark: SparkSession, d: str) -> DataFrame:
+    run = checkpointed(_grid_run(spark, d).withColumn("setting", F.concat_ws(":", "model", F.col("param").cast("string"))).drop("model", "param"))
+    return evaluate.means(evaluate.metrics(run, _qrels(spark, d), ["setting"]), ["setting"])
 
 
 def _run(spark: SparkSession, d: str) -> DataFrame:
@@ -79,14 +136,24 @@ QUERIES = {
     "bool_and_or": _bool("(memoria AND disco) OR bloque"),
     "bool_top_of_stack": _bool("memoria NOT disco"),
     "bool_batch": _bool_batch,
-    "posting_lookup": lambda s, d: lx.ix.read_postings(lx.posts(s, d), "memoria", "nosuchterm"),
+    "posting_lookup": lambda s, d: ix.read_postings(_posts(s, d), "memoria", "nosuchterm").select("term", "doc_id", "tf"),
+    "index_roundtrip": lambda s, d: _posts(s, d).select("term", "doc_id", "tf", "doc_len"),
+    "index_norms": lambda s, d: _part("docs")(s, d).select("doc_id", "doc_len", F.round("norm", 6).alias("norm"), F.round("log_norm", 6).alias("log_norm")),
+    "index_skips": _skips,
+    "posting_ge": lambda s, d: ix.advance(_posts(s, d), _skips(s, d), _targets(s, d)),
+    "skip_and": lambda s, d: ix.skip_and(_posts(s, d), _skips(s, d), ["memoria", "disco"]),
+    "skip_and3": lambda s, d: ix.skip_and(_posts(s, d), _skips(s, d), ["bloque", "memoria", "disco"]),
+    "skip_check": _skip_check,
+    "cosine_all": lambda s, d: rank.cosine(_index(s, d), s.range(1).select(F.lit("q").alias("qid"), F.lit("memoria").alias("term"), F.lit(1).cast("bigint").alias("qtf")), None).select("doc_id", "score", "rank"),
     "tfidf_cosine": lambda s, d: rank.cosine(_index(s, d), _terms(s, d)),
     "logtfidf_cosine": lambda s, d: rank.cosine(_index(s, d), _terms(s, d), log_tf=True),
     "tfidf_model_topk": lambda s, d: rank.tf_idf(_index(s, d), _terms(s, d)),
     "bm25_topk": lambda s, d: rank.bm25(_index(s, d), _terms(s, d)),
     "hiemstra_topk": lambda s, d: rank.hiemstra(_index(s, d), _terms(s, d)),
     "dirichlet_topk": lambda s, d: rank.dirichlet(_index(s, d), _terms(s, d)),
-    "model_grid": lambda s, d: rank.grid(_index(s, d), _terms(s, d), 5),
+    "model_grid": lambda s, d: rank.grid(_index(s, d), _terms(s, d)),
+    "grid_run": _grid_run,
+    "grid_means": _grid_means,
     "query_buckets": _buckets,
     "qrels": _qrels,
     "ranked_run": _run,
@@ -123,12 +190,12 @@ _MODEL = {
 }
 
 
-def _cosine(tf: str, qtf: str, queries: str, cols: str = "qid, doc_id") -> str:
+def _cosine(tf: str, qtf: str, queries: str, cols: str = "qid, doc_id", k: int = 10) -> str:
     return f"""with p as materialized ({_P}), v as (select term, ln({_NUM} / count(*)) as idf from p group by term), q0 as ({queries}),
   w as materialized (select term, doc_id, {tf} * idf as w from p join v using (term)), n as (select doc_id, sqrt(sum(w * w)) as norm from w group by doc_id),
   q as (select qid, term, {qtf} * idf as wq from q0 join v using (term)), m as (select qid, sqrt(sum(wq * wq)) as qn from q group by qid),
   s as (select qid, doc_id, round(coalesce(sum(w * wq) / nullif(any_value(norm) * any_value(qn), 0), 0), 8) as score from w join q using (term) join n using (doc_id) join m using (qid) group by qid, doc_id)
-  select {cols}, score, rank from ({_TOPK.format('desc', 'select * from s', 10)})"""
+  select {cols}, score, rank from ({_TOPK.format('desc', 'select * from s', k)})"""
 
 
 def _ranked(model: str, x=None, k: int = 10) -> str:
@@ -137,7 +204,6 @@ def _ranked(model: str, x=None, k: int = 10) -> str:
 
 _QR = r"select qid, docno, max(label) as label from (select nullif(trim(qid, ' ' || chr(9)), '') as qid, nullif(trim(docno, ' ' || chr(9)), '') as docno, label from read_qrels) where qid is not null and docno is not null and label is not null group by all"
 _RUN = "select qid, model, docno, score, row_number() over (partition by qid, model order by score desc, docno) as rank from (select qid, model, docno, max(score) as score from run_results where qid is not null and model is not null and docno is not null and score is not null and not isnan(score) group by all)"
-_RUN = f"select * from ({_RUN}) where rank <= 1000"
 _J = f"""qr as materialized ({_QR}), i as (select qid, count(*) filter (label > 0) as n_rel from qr group by qid),
   j0 as (select r.*, coalesce(label, 0) as label, (coalesce(label, 0) > 0)::int as rel from ({_RUN}) r left join qr using (qid, docno)),
   j as materialized (select *, sum(rel) over (partition by model, qid order by rank) as hits, sum(rel) over (partition by model, qid order by rank)::double / rank as precision from j0)"""
@@ -147,6 +213,11 @@ _M = f"""{_J}, b as (select qid, sum(label / log2(r + 1)) as ideal2 from (select
   m as materialized (select model, qid, retrieved, coalesce(n_rel, 0) as n_rel, round(coalesce(sp / nullif(n_rel, 0), 0), 6) as ap, round(h10::double / least(retrieved, 10), 6) as p10, round(h10 / 10.0::double, 6) as p10_trec,
     round(case when n_rel > 0 then d1 / list_sum(list_transform(range(1, least(n_rel, 10) + 1), lambda r: case when r = 1 then 1.0::double else 1.0::double / log2(r) end)) else 0 end, 6) as ndcg_v1,
     round(coalesce(d2 / nullif(ideal2, 0), 0), 6) as ndcg_trec, round(coalesce(found::double / nullif(n_rel, 0), 0), 6) as recall from a left join i using (qid) left join b using (qid))"""
+_NAMED_P = """select w.term, p.docid as doc_id, p.tf from (select term_id, docid, max(freq) as tf from posting_chunk where term_id is not null and docid is not null and freq > 0 group by all) p
+  join (select lower(term) as term, min(term_id) as term_id from term_dict where term is not null group by 1) w using (term_id)"""
+_NAMED_N = "(select count(distinct docid)::double from posting_chunk where term_id is not null and docid is not null and freq > 0)"
+_NAMED = f"""{_BASE.replace(f'({_P})', f'({_NAMED_P})')}, g0 as ({' union all '.join(f"select '{m}' as model, {'null' if x is None else x}::double as param, * from ({_TOPK.format('asc', _MODEL[m](x), 1000)})" for m, x in rank.GRID)}),
+  g1 as (select model, param, qid, docno, min(rank) as f from g0 join (select docid as doc_id, docno from doc_index where docno is not null) using (doc_id) group by all), gr as materialized (select model, param, qid, docno, row_number() over (partition by model, param, qid order by f) as rank from g1)""".replace(_NUM, _NAMED_N)
 _AVG_RANK = "rank() over (partition by {k} order by {x}) + (count(*) over (partition by {k}, {x}) - 1) / 2.0::double"
 
 
@@ -164,18 +235,32 @@ SQL = {
     "bool_or_not": f"({_IN.format(_T, 'memoria')} union {_IN.format(_T, 'disco')}) except {_IN.format(_T, 'bloque')}",
     "bool_and_or": f"({_IN.format(_T, 'memoria')} intersect {_IN.format(_T, 'disco')}) union {_IN.format(_T, 'bloque')}",
     "bool_top_of_stack": f"select distinct doc_id from documents except {_IN.format(_T, 'disco')}",
-    "bool_batch": f"""with p as materialized ({_P}), w as (select qid, regexp_extract_all(lower(query), '{tx.LETTERS}') as w from ({_TOPICS})),
-  k as (select qid, w[1] as a, w[2] as b from w where len(w) = 2 and w[1] <> w[2] and w[1] in (select term from p) and w[2] in (select term from p)),
-  h as (select qid, doc_id, max(term = a) as ha, max(term = b) as hb from k join p on term = a or term = b group by all)
-  select qid, count(*) filter (ha and hb) as n_and, count(*) as n_or, (select count(distinct doc_id) from documents) - count(*) filter (hb) as n_not from h group by qid""",
+    "bool_batch": f"""with p as materialized ({_P}), w as (select qid, regexp_extract_all(lower(query), '{tx.LETTERS}') as w from ({_TOPICS})), v as (select distinct term from p),
+  k as (select qid, len(w) as size, w[1] as a, w[2] as b, w[3] as c from w where len(w) in (2, 3) and len(list_distinct(w)) = len(w) and w[1] in (select term from v) and w[2] in (select term from v) and (len(w) = 2 or w[3] in (select term from v))),
+  h as (select qid, size, doc_id, max(term = a) as ha, max(term = b) as hb, coalesce(max(term = c), false) as hc from k join p on term in (a, b, c) group by all),
+  n as (select qid, size, count(*) filter (ha and hb) as ab, count(*) as o, count(*) filter (hb) as nb, count(*) filter (ha and hb and hc) as abc, count(*) filter ((ha or hb) and not hc) as onot, count(*) filter (ha and hb or hc) as ando from h group by all),
+  t as (select count(distinct doc_id) as t from documents)
+  select qid, unnest(case when size = 2 then ['a AND b', 'a OR b', 'a NOT b'] else ['a AND b AND c', '(a OR b) NOT c', '(a AND b) OR c'] end) as form, unnest(case when size = 2 then [ab, o, t - nb] else [abc, onot, ando] end) as n from n, t""",
     "posting_lookup": f"select * from ({_P}) where term in ('memoria', 'nosuchterm')",
+    "index_roundtrip": f"with p as ({_P}) select term, doc_id, tf, sum(tf) over (partition by doc_id)::bigint as doc_len from p",
+    "index_norms": f"with p as ({_P}), v as (select term, ln({_NUM} / count(*)) as idf from p group by term) select doc_id, sum(tf)::bigint as doc_len, round(sqrt(sum((tf * idf) ** 2)), 6) as norm, round(sqrt(sum(((1 + ln(tf)) * idf) ** 2)), 6) as log_norm from p join v using (term) group by doc_id",
+    "index_skips": f"""with p as ({_P}), r as (select *, row_number() over (partition by term order by doc_id) - 1 as i, greatest(1, floor(sqrt(count(*) over (partition by term)))) as step from p)
+  select term, floor(i / step)::int as block, count(*) as size, min(doc_id) as first_doc, max(doc_id) as last_doc from r group by 1, 2""",
+    "posting_ge": f"with p as materialized ({_P}), t as (select unnest(['memoria', 'disco', 'bloque']) as term, doc_id as target from (select distinct doc_id from documents where doc_id % 100 = 0)) select term, target, (select min(doc_id) from p where p.term = t.term and p.doc_id >= t.target) as doc_id from t",
+    "skip_and": f"{_IN.format(_T, 'memoria')} intersect {_IN.format(_T, 'disco')}",
+    "skip_and3": f"({_IN.format(_T, 'memoria')} intersect {_IN.format(_T, 'disco')}) intersect {_IN.format(_T, 'bloque')}",
+    "skip_check": f"select n as n_linear, n as n_skip from (select count(*) as n from (({_IN.format(_T, 'memoria')} intersect {_IN.format(_T, 'disco')}) intersect {_IN.format(_T, 'bloque')}))",
+    "cosine_all": _cosine("tf", "qtf", "select 'q' as qid, 'memoria' as term, 1 as qtf", "doc_id", 1 << 40),
     "tfidf_cosine": _cosine("tf", "qtf", _QT),
     "logtfidf_cosine": _cosine("(1 + ln(tf))", "(1 + ln(qtf))", _QT),
     "tfidf_model_topk": _ranked("tf_idf"),
     "bm25_topk": _ranked("bm25"),
     "hiemstra_topk": _ranked("hiemstra", 0.5),
     "dirichlet_topk": _ranked("dirichlet", 2500.0),
-    "model_grid": f"with {_BASE} " + " union all ".join(f"select '{m}' as model, {'null' if x is None else x}::double as param, * from ({_TOPK.format('asc', _MODEL[m](x), 5)})" for m, x in rank.GRID),
+    "model_grid": f"with {_BASE} " + " union all ".join(f"select '{m}' as model, {'null' if x is None else x}::double as param, * from ({_TOPK.format('asc', _MODEL[m](x), 1000)})" for m, x in rank.GRID),
+    "grid_run": f"with {_NAMED} select model, param, qid, docno, rank from gr",
+    "grid_means": f"""with {_NAMED}, {_M.replace(f"({_RUN}) r", "(select concat_ws(':', model, param::varchar) as model, qid, docno, rank from gr) r")}
+  select model as setting, count(*) as topics, round(avg(ap), 6) as map, round(avg(p10), 6) as p10, round(avg(p10_trec), 6) as p10_trec, round(avg(ndcg_v1), 6) as ndcg_v1, round(avg(ndcg_trec), 6) as ndcg_trec, round(avg(recall), 6) as recall from m group by model""",
     "query_buckets": f"""with q as ({_QT}), v as (select term, count(*) as df from ({_P}) group by term), n as (select qid, len(regexp_extract_all(lower(query), '{tx.LETTERS}')) as n_terms from ({_TOPICS})),
   s as (select qid, avg(df) as a from q join v using (term) group by qid), j as (select n_terms, coalesce(a, 0) as a from n left join s using (qid))
   select case when n_terms = 1 then '1' when n_terms <= 3 then '2-3' else '4+' end as length_bucket, case when a < 5 then '<5' when a < 10 then '<10' else '10+' end as size_bucket,

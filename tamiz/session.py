@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT = "spark.checkpoint.dir"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset, a session on one machine gets a temporary
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset, a session on one machine gets a temporary
     one; on a cluster, where such a folder would not be shared, it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc.getConf().get(CHECKPOINT)
         if not folder:
@@ -24,6 +24,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError(f"{CHECKPOINT} must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tamiz-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
