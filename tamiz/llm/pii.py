@@ -29,10 +29,16 @@ from pyspark.sql import functions as F
 from tamiz.llm import pii_net as net
 from tamiz.llm.pii_labels import KINDS
 
-WINDOW, OVERLAP, COLUMNS = 240, 80, 768
+WINDOW, OVERLAP, COLUMNS = 480, 80, 768
 _EDGE = " \t\r\n,;:!?\"'“”«»<>[]{}"
 
 
+# --- fixed values: where an address of either sort ends -----------------------------------------
+_MAIL = re.compile(r"[^\s@(\[]+\s?(?:@|[(\[]\s?(?:at|arroba|arobase)\s?[)\]])\s?[\w-]+(?:(?:\.|\s?[(\[]\s?(?:dot|punto|ponto|point)\s?[)\]]\s?)[\w-]+)*", re.I)
+_DOOR = {"andar", "bis", "ter", "izquierda", "derecha", "izq", "dcha", "esquerdo", "direito", "gauche", "droite", "fondo"}
+# ------------------------------------------------------------------------------------------------
+
+
 @lru_cache(maxsize=2)
 def load(raw: bytes) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(raw)) as z:
@@ -98,6 +104,10 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         b = a + m.start()  # no sentence ends inside an address
     if kind == "address" and re.search(r"\b(?:Rd|St|Ave|Ln|Dr)$", text[a:b]) and text[b : b + 1] == ".":
         b += 1
+    if kind == "email" and (m := _MAIL.match(text[a:b])):
+        b = a + m.end()
+    while kind == "address" and (m := re.search(r"\s([^\W\d_]+)$", text[a:b])) and m[1].islower() and m[1] not in _DOOR:
+        b = a + m.start()  # words that follow the address
     if kind == "ident" and re.match(r"\d \d\d ", text[a:b]) and (m := re.match(r"(?: \d{2,3})+(?!\w)", text[b:])):
         b += m.end()  # groups of one spaced number stay together
     v = text[a:b]
@@ -149,14 +159,14 @@ def tag_texts(q: dict, texts: list[str | None]) -> list[list[tuple[int, int, str
     cut = [[] if not t else t.split("\n") for t in texts]
     for c in cut:
         for line in c:
-            if len(line) > 3:
+            if line:
                 lines.setdefault(line, len(lines))
     found = tag_lines(q, list(lines))
     out = []
     for c in cut:
         at, spans = 0, []
         for line in c:
-            if len(line) > 3:
+            if line:
                 spans += [(at + a, at + b, k) for a, b, k in found[lines[line]]]
             at += len(line) + 1
         out.append(spans)

@@ -1,7 +1,8 @@
 """Trains the tagger: ``python -m tamiz.llm.pii_train DOCUMENTS.parquet [SECONDS [RATE]]``; a rate continues from the stored weights.
 
 Labels are weak ones (:mod:`tamiz.llm.pii_labels`) on at most ``MAX_DOCS`` documents, one in ten of
-which is held out.  Gradients of the BiLSTM and of the CRF are written out; Adam updates.
+which is held out, with generated values in part of them and generated lines beside them (:mod:`tamiz.llm.pii_values`;
+given names also from ``name_hints.parquet`` beside the documents).  Gradients of the BiLSTM and of the CRF are written out; Adam updates.
 Writes ``pii_weights.npz`` beside this file.
 """
 
@@ -16,6 +17,7 @@ from pathlib import Path
 import numpy as np
 
 from tamiz.llm import pii_net as net
+from tamiz.llm import pii_values
 from tamiz.llm.pii_labels import KINDS, augment, spans
 
 MAX_DOCS, HIDDEN, WINDOW, BATCH, SEED = 10_000, 48, 176, 160, 7
@@ -44,6 +46,24 @@ def lookalikes(none: list) -> list:
     return [x for x in none if re.search(r"\d\W?\d{4}|\d{3}\W\d{3}|[A-Z]{4}|@|[a-z»] \(?[A-ZÀ-Ý]", x[0])] or none
 
 
+def revalued(line: str, found: list, rnd: random.Random, hints: list[str]) -> tuple[str, list]:
+    """The line with some of its names, phones, and addresses replaced by generated ones."""
+    out, new, at = "", [], 0
+    for a, b, kind in found:
+        v = line[a:b]
+        if rnd.random() < 0.15:
+            if kind == "name" and " " in v and "," not in v:
+                v = pii_values.name(rnd, hints)
+            elif kind == "phone" and v[:1] in "+(0":
+                v = pii_values.digits(rnd.choice(pii_values.PHONES), rnd)
+            elif kind == "email" and "@" in v:
+                v = pii_values.email(rnd)
+        out += line[at:a]
+        new.append((len(out), len(out) + len(v), kind))
+        out, at = out + v, b
+    return out + line[at:], new
+
+
 def window(line: str, found: list, rnd: random.Random) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     line, found = augment(line, found, rnd)
     a = 0
@@ -208,6 +228,8 @@ def main(path: str, seconds: float = 300, rate: float = 0) -> None:
 
     rnd, nrnd = random.Random(SEED), np.random.default_rng(SEED)
     texts = [t for t in pd.read_parquet(path, columns=["text"]).text.dropna().head(MAX_DOCS) if t]
+    near = Path(path).with_name("name_hints.parquet")
+    hints = [str(x) for x in pd.read_parquet(near).given_name.dropna()] if near.exists() else []
     rnd.shuffle(texts)
     held, (some, none) = sample(texts[: len(texts) // 10], rnd), split(texts[len(texts) // 10 :])
     hard = lookalikes(none)
@@ -219,7 +241,8 @@ def main(path: str, seconds: float = 300, rate: float = 0) -> None:
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     began, k, epoch = time.time(), 0, 0
     while (done := (time.time() - began) / seconds) < 1:
-        items = some + rnd.choices(none, k=len(some) // 2) + (rnd.choices(hard, k=len(some) // 2) if rate else [])
+        items = [revalued(*x, rnd, hints) for x in some] + rnd.choices(none, k=len(some) // 2) + (rnd.choices(hard, k=len(some) // 2) if rate else [])
+        items += [pii_values.line(rnd, hints) for _ in range(len(some) // 5)]
         rnd.shuffle(items)
         losses = []
         for i in range(0, len(items), BATCH):
