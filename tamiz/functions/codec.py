@@ -6,21 +6,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = 65536
 
 
+def _bit_lengths(v: np.ndarray) -> np.ndarray:
+    """Bits of each number, 0 of 0."""
+    n = np.zeros(len(v), np.int64)
+    x = v.astype(np.uint64)
+    for k in (32, 16, 8, 4, 2, 1):
+        big = x >= np.uint64(1) << np.uint64(k)
+        n[big] += k
+        x = np.where(big, x >> np.uint64(k), x)
+    return n + (x > 0)
+
+
+def vbyte_sizes(values: np.ndarray) -> np.ndarray:
+    return np.maximum((_bit_lengths(values) + 6) // 7, 1)
+
+
 def vbyte_encode(values: np.ndarray) -> bytes:
     """Seven bits a byte, most significant group first, the last byte of a number with its high bit set."""
     v = np.asarray(values, np.uint64)
-    if not len(v):
-        return b""
-    n = np.maximum((np.frompyfunc(int.bit_length, 1, 1)(v.astype(object)).astype(np.int64) + 6) // 7, 1)
-    row = np.repeat(np.arange(len(v)), n)
+    n = vbyte_sizes(v)
     left = np.repeat(np.cumsum(n), n) - np.arange(n.sum()) - 1
-    out = ((v[row] >> (np.uint64(7) * left.astype(np.uint64))) & np.uint64(127)).astype(np.uint8)
+    out = ((np.repeat(v, n) >> (np.uint64(7) * left.astype(np.uint64))) & np.uint64(127)).astype(np.uint8)
     out[left == 0] |= 128
     return out.tobytes()
 
@@ -44,7 +57,7 @@ def _bits(values: np.ndarray) -> np.ndarray:
     v = np.asarray(values, np.int64)
     if len(v) and v.min() < 1:
         raise ValueError("gamma codes begin at 1")
-    k = np.frompyfunc(int.bit_length, 1, 1)(v.astype(object)).astype(np.int64) if len(v) else v
+    k = _bit_lengths(v)
     n = 2 * k - 1
     left = np.repeat(np.cumsum(n), n) - np.arange(n.sum()) - 1
     return ((np.repeat(v, n) >> np.minimum(left, 62)) & 1).astype(np.uint8) * (left < np.repeat(k, n))
@@ -55,44 +68,96 @@ def gamma_encode(values: np.ndarray) -> bytes:
     return np.packbits(_bits(values)).tobytes()
 
 
+def _jumps(step: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each start the first ``count`` positions of the chain start, step[start], ..., end to end.
+
+    Chains are followed by doubling: after i rounds a jump spans 2 ** i steps, so a chain of n takes log n rounds.
+    """
+    most = int(count.max(initial=0))
+    if not most:
+        return np.empty(0, np.int64)
+    at = np.empty((len(start), most), np.int64)
+    at[:, 0] = start
+    have, jump = 1, step
+    while have < most:
+        more = min(have, most - have)
+        at[:, have : have + more] = jump[at[:, :more]]
+        have += more
+        jump = jump[jump]
+    return at[np.arange(most)[None, :] < count[:, None]]
+
+
+def _numbers(bits: np.ndarray, begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The numbers of ``width`` bits that begin at the positions ``begin``."""
+    if not len(begin):
+        return np.empty(0, np.int64)
+    left = np.repeat(np.cumsum(width), width) - np.arange(width.sum()) - 1
+    at = np.repeat(begin + width, width) - left - 1
+    return np.add.reduceat(bits[at].astype(np.int64) << left, np.r_[0, np.cumsum(width)[:-1]])
+
+
+def _next_one(bits: np.ndarray) -> np.ndarray:
+    """For each position that of the next set bit, itself included; the length where there is none."""
+    n = len(bits)
+    return np.minimum.accumulate(np.where(bits[::-1] > 0, np.arange(n)[::-1], n))[::-1] if n else np.empty(0, np.int64)
+
+
+def _gamma_rows(data: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The gamma numbers of many streams: stream i begins at byte begin[i] of ``data`` and holds count[i]."""
+    bits = np.unpackbits(data)
+    n = len(bits)
+    one = _next_one(bits)
+    # a number's code ends where its ones begin, as far on again, and one more; n stands for nowhere
+    step = np.append(np.where(one < n, np.minimum(2 * one - np.arange(n) + 1, n), n), n)
+    at = _jumps(step, begin * 8, count)
+    if len(at) and (at.max() >= n or (one[at] >= n).any() or (2 * one[at] - at + 1 > n).any()):
+        raise EOFError("the bits end inside a number")
+    return _numbers(bits, one[at] if len(at) else at, (one[at] - at + 1) if len(at) else at)
+
+
 def gamma_decode(data: bytes, count: int) -> np.ndarray:
-    bits, at, out = np.unpackbits(np.frombuffer(data, np.uint8)), 0, np.empty(count, np.int64)
-    ones = np.flatnonzero(bits)
-    for i in range(count):
-        j = int(np.searchsorted(ones, at))
-        if j == len(ones) or 2 * int(ones[j]) - at + 1 > len(bits):
-            raise EOFError("the bits end inside a number")
-        first = int(ones[j])
-        k = first - at
-        out[i] = int("".join(map(str, bits[first : first + k + 1])), 2)
-        at = first + k + 1
-    return out
+    return _gamma_rows(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([count]))
 
 
 def hybrid_encode(gaps: np.ndarray, freqs: np.ndarray) -> bytes:
     """One stream of bits: the variable bytes of a gap, then the gamma code of its frequency, not aligned."""
-    parts = []
-    for g, f in zip(gaps, freqs):
-        parts += [np.unpackbits(np.frombuffer(vbyte_encode(np.array([g])), np.uint8)), _bits(np.array([f]))]
-    return np.packbits(np.concatenate(parts)).tobytes() if parts else b""
+    g, f = np.asarray(gaps, np.int64), np.asarray(freqs, np.int64)
+    if not len(g):
+        return b""
+    left, right = np.unpackbits(np.frombuffer(vbyte_encode(g), np.uint8)), _bits(f)
+    n, m = 8 * vbyte_sizes(g), 2 * _bit_lengths(f) - 1
+    end = np.cumsum(n + m)
+    out = np.empty(int(end[-1]), np.uint8)
+    mine = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(end - m - n, n)
+    out[mine] = left
+    out[np.arange(len(right)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(end - m, m)] = right
+    return np.packbits(out).tobytes()
 
 
 def hybrid_decode(data: bytes, count: int) -> tuple[np.ndarray, np.ndarray]:
-    bits, at = np.unpackbits(np.frombuffer(data, np.uint8)), 0
-    gaps, freqs = np.empty(count, np.int64), np.empty(count, np.int64)
-    for i in range(count):
-        g = 0
-        while True:
-            byte = int(np.packbits(bits[at : at + 8])[0])
-            at += 8
-            g = g << 7 | byte & 127
-            if byte & 128:
-                break
-        k = 0
-        while not bits[at + k]:
-            k += 1
-        freqs[i] = int("".join(map(str, bits[at + k : at + 2 * k + 1])), 2)
-        gaps[i], at = g, at + 2 * k + 1
+    bits = np.unpackbits(np.frombuffer(data, np.uint8))
+    n = len(bits)
+    one = _next_one(bits)
+    # the byte of a gap that is marked as its last one, from each position in steps of a byte
+    last = np.full(n + 8, n, np.int64)
+    for phase in range(8):
+        own = np.arange(phase, n, 8)
+        marks = np.where(bits[own] > 0, own, n)
+        last[own] = np.minimum.accumulate(marks[::-1])[::-1]
+    after = np.minimum(last[:n] + 8, n)  # where the gamma code begins
+    first = np.append(one, n)[after]
+    step = np.append(np.where(first < n, np.minimum(2 * first - after + 1, n), n), n)
+    at = _jumps(step, np.zeros(1, np.int64), np.array([count]))
+    if len(at) and (at.max() >= n or (first[at] >= n).any()):
+        raise EOFError("the bits end inside a number")
+    freqs = _numbers(bits, first[at], first[at] - after[at] + 1) if len(at) else at
+    size = (after[at] - at) // 8 if len(at) else at
+    row = np.repeat(np.arange(len(at)), size)
+    byte = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    start = (at[row] + 8 * byte)[:, None] + np.arange(1, 8)[None, :]
+    seven = (bits[start].astype(np.int64) << np.arange(6, -1, -1)[None, :]).sum(1) if len(row) else row
+    gaps = np.zeros(len(at), np.int64)
+    np.add.at(gaps, row, seven << (7 * (size[row] - 1 - byte)))
     return gaps, freqs
 
 
@@ -103,17 +168,38 @@ def blocks(posts: DataFrame) -> DataFrame:
     return b.select("term", "block", F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"))
 
 
-def _rows(a: pa.Array) -> list[np.ndarray]:
-    return [np.asarray(x) for x in a.to_numpy(zero_copy_only=False)]
+def _lists(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column end to end, and the length of each list."""
+    return a.flatten().to_numpy(zero_copy_only=False).astype(np.int64), a.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _binaries(data: bytes, size: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int64).tobytes()), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _sums(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of stretches of n values; empty ones give 0."""
+    return np.diff(np.r_[0, np.cumsum(values)][np.r_[0, np.cumsum(n)]])
 
 
 def encoder(gapped: bool = True) -> Column:
+    """All lists of a batch are coded at once."""
+
     def run(docs: pa.Array, tfs: pa.Array) -> pa.Array:
-        ids, freqs = [], []
-        for d, f in zip(_rows(docs), _rows(tfs)):
-            ids.append(vbyte_encode(np.diff(d, prepend=0) if gapped else d))
-            freqs.append(gamma_encode(f))
-        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(freqs, pa.binary())], ["ids", "freqs"])
+        d, n = _lists(docs)
+        f, _ = _lists(tfs)
+        if gapped and len(d):
+            head = (np.cumsum(n) - n)[n > 0]
+            g = np.diff(d, prepend=0)
+            g[head] = d[head]
+            d = g
+        ids = _binaries(vbyte_encode(d), _sums(vbyte_sizes(d), n))
+        # every list's bits are filled up to whole bytes
+        bits, size = _bits(f), _sums(2 * _bit_lengths(f) - 1, n)
+        full = -(-size // 8)
+        out = np.zeros(int(full.sum()) * 8, np.uint8)
+        out[np.arange(len(bits)) + np.repeat((np.cumsum(full) - full) * 8 - (np.cumsum(size) - size), size)] = bits
+        return pa.StructArray.from_arrays([ids, _binaries(np.packbits(out).tobytes(), full)], ["ids", "freqs"])
 
     run.__annotations__ = {"docs": pa.Array, "tfs": pa.Array, "return": pa.Array}
     return F.arrow_udf("ids binary, freqs binary")(run)
@@ -125,17 +211,34 @@ def compressed(posts: DataFrame, gapped: bool = True) -> DataFrame:
     return b.select("term", "block", F.size("docs").alias("n"), "c.ids", "c.freqs")
 
 
+def _flat(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column end to end, and where each value begins."""
+    size = pc.binary_length(a).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.frombuffer(b"".join(a.to_pylist()), np.uint8), np.cumsum(size) - size
+
+
 def decompressed(lists: DataFrame, gapped: bool = True) -> DataFrame:
-    """(term, doc_id, tf) again."""
+    """(term, doc_id, tf) again; all lists of a batch are decoded at once."""
 
     def run(ids: pa.Array, freqs: pa.Array, n: pa.Array) -> pa.Array:
-        out = []
-        for i, f, k in zip(ids.to_pylist(), freqs.to_pylist(), n.to_pylist()):
-            d = vbyte_decode(i)
-            d = np.cumsum(d) if gapped else d
-            out.append([{"doc_id": int(a), "tf": int(b)} for a, b in zip(d, gamma_decode(f, k))])
-        return pa.array(out, pa.list_(pa.struct([("doc_id", pa.int64()), ("tf", pa.int64())])))
+        k = n.to_numpy(zero_copy_only=False).astype(np.int64)
+        d = vbyte_decode(_flat(ids)[0].tobytes())
+        if gapped and len(d):
+            total = np.cumsum(d)
+            d = total - np.repeat(np.r_[0, total][np.cumsum(k) - k], k)
+        # long lists by themselves: chains of one length are followed together
+        data, begin = _flat(freqs)
+        f = np.empty(len(d), np.int64)
+        ends = np.cumsum(k)
+        size = np.ceil(np.log2(np.maximum(k, 1))).astype(int)
+        for s in np.unique(size):
+            rows = np.flatnonzero(size == s)
+            at = np.arange(int(k[rows].sum())) - np.repeat(np.cumsum(k[rows]) - k[rows], k[rows]) + np.repeat((ends - k)[rows], k[rows])
+            f[at] = _gamma_rows(data, begin[rows], k[rows])
+        off = pa.array(np.r_[0, ends].astype(np.int32))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(off, pa.array(d)), pa.ListArray.from_arrays(off, pa.array(f))], ["docs", "tfs"])
 
     run.__annotations__ = {"ids": pa.Array, "freqs": pa.Array, "n": pa.Array, "return": pa.Array}
-    udf = F.arrow_udf("array<struct<doc_id:bigint,tf:bigint>>")(run).asNondeterministic()
-    return lists.select("term", F.explode(udf("ids", "freqs", "n")).alias("p")).select("term", "p.doc_id", "p.tf")
+    udf = F.arrow_udf("docs array<bigint>, tfs array<bigint>")(run).asNondeterministic()
+    got = lists.select("term", udf("ids", "freqs", "n").alias("c"))
+    return got.select("term", F.explode(F.arrays_zip(F.col("c.docs").alias("doc_id"), F.col("c.tfs").alias("tf"))).alias("p")).select("term", "p.doc_id", "p.tf")

@@ -6,6 +6,10 @@ A run is (qid, docno, rank); judgements are (qid, docno, label).  Extra key colu
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +99,39 @@ def spearman(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> D
     return c.select(*keys, "n", F.round(F.try_divide("c", F.col("sx") * F.col("sy")), 6).alias("rho"))
 
 
+def _beta_tail(t: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two-sided tail of Student's t with n degrees of freedom, by the continued fraction of the incomplete beta function."""
+    a, b = n / 2.0, np.full(len(n), 0.5)
+    x = n / (n + t * t)
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    log = np.vectorize(math.lgamma, otypes=[float])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        front = np.exp(log(p + q) - log(p) - log(q) + p * np.log(y) + q * np.log1p(-y)) / p
+        c, d = np.ones(len(n)), 1 / (1 - (p + q) * y / (p + 1))
+        h = d.copy()
+        for m in range(1, 300):
+            for e in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+                d, c = 1 / (1 + e * d), 1 + e / c
+                h = h * c * d
+        got = np.where((y <= 0) | (y >= 1), np.where(y <= 0, 0.0, 1.0), front * h)
+    return np.where(swap, 1 - got, got)
+
+
+def with_p_value(correlations: DataFrame) -> DataFrame:
+    """Rows (n, rho, ...) with ``p``: the two-sided p-value of no correlation; 0 at rho of 1 or -1, null under three pairs or without rho."""
+
+    @F.pandas_udf("double")
+    def tail(rho: pd.Series, n: pd.Series) -> pd.Series:
+        r, k = rho.to_numpy(float), n.to_numpy(float) - 2
+        ok = (k > 0) & (np.abs(r) < 1)
+        out = np.where((k > 0) & (np.abs(r) == 1), 0.0, np.nan)
+        out[ok] = _beta_tail(r[ok] * np.sqrt(k[ok] / (1 - r[ok] ** 2)), k[ok])
+        return pd.Series(out)
+
+    return correlations.withColumn("p", F.nullif(F.round(tail("rho", "n"), 6), F.lit(float("nan"))))
+
+
 def spearman_measures(per_topic: DataFrame, measure: str = "ap") -> DataFrame:
     """(model_a, model_b, n, rho): the measure of two models paired by topic."""
     a = per_topic.select("qid", F.col("model").alias("model_a"), F.col(measure).alias("x"))

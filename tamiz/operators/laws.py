@@ -72,6 +72,27 @@ def head_overlap(vocab: DataFrame, stop: DataFrame, mass: float) -> DataFrame:
     return head.agg(F.count(F.lit(1)).alias("head_terms"), F.count("s").alias("stop_in_head"), F.round(F.try_divide(F.count("s"), F.count(F.lit(1))), 6).alias("share"))
 
 
+def ranked_by_appearance(positions: DataFrame) -> DataFrame:
+    """(term, cf, rank) by frequency, equal ones in the order of their first occurrence (``positions``: doc_id, pos, term; both from 0)."""
+    v = positions.groupBy("term").agg(F.count(F.lit(1)).alias("cf"), F.min(F.struct("doc_id", "pos")).alias("at"))
+    # fixed-width numbers sort as text in their own order
+    return ranked(v.select("term", "cf", F.concat(F.lpad(F.col("at.doc_id").cast("string"), 19, "0"), F.lpad(F.col("at.pos").cast("string"), 10, "0")).alias("first")), "cf", "first").select("term", "cf", "rank")
+
+
+def heaps_tokens(positions: DataFrame) -> DataFrame:
+    """(n, v): tokens read and distinct terms seen after each token, in order of doc_id and pos.
+
+    Sums over documents give each document its base; inside a document its own tokens are counted.
+    """
+    first = positions.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("at.doc_id", "at.pos", F.lit(1).alias("new"))
+    base = heaps_curve(positions).select("doc_id", F.col("n").alias("to"), F.col("v").alias("seen"))
+    seen = positions.select("doc_id", "pos").join(first, ["doc_id", "pos"], "left")
+    back = Window.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    # counted from a document's end, where the sums over documents stand
+    left = seen.select("doc_id", F.count(F.lit(1)).over(back).alias("after"), F.coalesce(F.sum("new").over(back), F.lit(0)).alias("later"))
+    return left.join(base, "doc_id").select((F.col("to") - F.col("after")).alias("n"), (F.col("seen") - F.col("later")).alias("v"))
+
+
 def heaps_curve(positions: DataFrame) -> DataFrame:
     """(doc_id, n, v): tokens read and distinct terms seen after each document, in order of doc_id.
 

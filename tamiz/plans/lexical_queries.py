@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamiz.functions import stem
 from tamiz.functions import text as tx
 from tamiz.operators import index as ix
 from tamiz.operators import laws, stats
@@ -66,6 +67,20 @@ def _structured(version: int):
     return q
 
 
+def _stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of Porter stems of the terms that are no stop words."""
+    t = stats.filtered(tokens(spark, d), _stop(spark, d))
+    return stats.postings(t.join(stem.stems(t, "porter"), "term").select("doc_id", F.col("stem").alias("term")))
+
+
+def _structured_terms(spark: SparkSession, d: str) -> DataFrame:
+    """(term, cf): structured tokens, the letters that remain as Porter stems."""
+    c = tx.structured("text", 2)
+    rest = docs(spark, d).select(F.explode(c["letters"]).alias("term"))
+    whole = docs(spark, d).select(F.explode(F.concat(*[v for k, v in c.items() if k != "letters"])).alias("term"))
+    return stats.word_count(whole.unionByName(rest.join(stem.stems(rest, "porter"), "term").select(F.col("stem").alias("term"))))
+
+
 QUERIES = {
     "word_count": lambda s, d: stats.word_count(tokens(s, d, tx.WORD)),
     "word_count_ascii": lambda s, d: stats.word_count(tokens(s, d, tx.ASCII)),
@@ -94,7 +109,12 @@ QUERIES = {
     "zipf_prune": lambda s, d: laws.pruned(vocab(s, d).select("term", "cf"), 0.3),
     "stopword_share": lambda s, d: laws.head_overlap(vocab(s, d).select("term", "cf"), _stop(s, d), 0.3),
     "heaps_curve": lambda s, d: laws.heaps_curve(_positions(s, d)),
-    "heaps_fit": lambda s, d: laws.heaps_fit(laws.heaps_curve(_positions(s, d))),
+    "heaps_tokens": lambda s, d: laws.heaps_tokens(_positions(s, d)),
+    "heaps_fit": lambda s, d: laws.heaps_fit(laws.heaps_tokens(_positions(s, d))),
+    "heaps_fit_docs": lambda s, d: laws.heaps_fit(laws.heaps_curve(_positions(s, d))),
+    "zipf_ranks_first": lambda s, d: laws.ranked_by_appearance(_positions(s, d)),
+    "porter_terms": lambda s, d: stats.vocabulary(_stemmed(s, d)),
+    "structured_terms": _structured_terms,
     "tok_email": _alone(tx.EMAIL),
     "tok_url": _alone(tx.URL),
     "tok_acronym": _alone(tx.ACRONYM),
@@ -122,6 +142,9 @@ _SIZES = f"""select term, count(*) as df, sum(ceil({_BL.format('doc_id')} / 7.0)
   ceil(sum(2 * {_BL.format('tf')} - 1) / 8.0)::bigint as freq_bytes, ceil((sum(ceil({_BL.format('gap')} / 7.0)) * 8 + sum(2 * {_BL.format('tf')} - 1)) / 8.0)::bigint as hybrid_bytes from ({_G}) group by term"""
 _H = f"""select doc_id, sum(n) over (order by doc_id)::bigint as n, sum(coalesce(k, 0)) over (order by doc_id)::bigint as v from (select doc_id, count(*) as n from ({_TOK.format(tx.SPANISH)}) group by doc_id)
   left join (select doc_id, count(*) as k from (select term, min(doc_id) as doc_id from ({_TOK.format(tx.SPANISH)}) group by term) group by doc_id) using (doc_id)"""
+_PO = f"""select row_number() over (order by doc_id, i) as n, t[i] as term from (select doc_id, t, unnest(range(1, len(t) + 1)) as i
+  from (select doc_id, regexp_extract_all(lower(replace(text, chr(304), 'i' || chr(775))), '{tx.SPANISH}') as t from documents))"""
+_HT = f"select n, sum((f = n)::int) over (order by n)::bigint as v from (select n, min(n) over (partition by term) as f from ({_PO}))"
 _FOUND = "select token, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest({}) as token from documents) group by token"
 _STOP = f"select term from ({_R}) where rank <= 50"
 
@@ -157,7 +180,10 @@ SQL = {
     "zipf_prune": f"with c as ({_C}) select term, cf, rank from c where rank > (select 1 + count(*) from c where round(cf_to::double / t, 9) < 0.3)",
     "stopword_share": f"with c as ({_C}), h as (select term from c where rank <= (select 1 + count(*) from c where round(cf_to::double / t, 9) < 0.3)) select count(*) as head_terms, count(*) filter (term in ({_STOP})) as stop_in_head, round(count(*) filter (term in ({_STOP}))::double / count(*), 6) as share from h",
     "heaps_curve": _H,
-    "heaps_fit": f"select round(regr_slope(y, x), 6) as beta, round(exp(regr_intercept(y, x)), 6) as k, round(regr_r2(y, x), 6) as r2 from (select ln(n) as x, ln(v) as y from ({_H}))",
+    "heaps_fit": f"select round(regr_slope(y, x), 6) as beta, round(exp(regr_intercept(y, x)), 6) as k, round(regr_r2(y, x), 6) as r2 from (select ln(n) as x, ln(v) as y from ({_HT}))",
+    "heaps_tokens": _HT,
+    "heaps_fit_docs": f"select round(regr_slope(y, x), 6) as beta, round(exp(regr_intercept(y, x)), 6) as k, round(regr_r2(y, x), 6) as r2 from (select ln(n) as x, ln(v) as y from ({_H}))",
+    "zipf_ranks_first": f"select term, cf, row_number() over (order by cf desc, f) as rank from (select term, count(*) as cf, min(n) as f from ({_PO}) group by term)",
     "tok_email": _FOUND.format(f"regexp_extract_all(text, '{tx.EMAIL}')"),
     "tok_url": _FOUND.format(f"regexp_extract_all(text, '{tx.URL}')"),
     "tok_acronym": _FOUND.format(f"list_filter(regexp_extract_all(text, '{tx.WORD}'), lambda x: regexp_full_match(x, '[A-Z]{{2,}}'))"),

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tamiz.functions import stem
 from tamiz.functions import text as tx
-from tamiz.operators import boolean, evaluate, rank
+from tamiz.operators import boolean, evaluate, rank, stats
 from tamiz.operators import index as ix
 from tamiz.plans import lexical_queries as lx
 from tamiz.session import checkpointed, table
@@ -126,6 +127,14 @@ def _buckets(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.query_buckets(_terms(spark, d), sizes, lx.vocab(spark, d))
 
 
+def _porter(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 on Porter stems without stop words, on both sides."""
+    index = rank.Index(checkpointed(lx._stemmed(spark, d)), lx.docs(spark, d))
+    t = stats.filtered(_terms(spark, d), lx._stop(spark, d))
+    q = t.join(stem.stems(t, "porter"), "term").groupBy("qid", F.col("stem").alias("term")).agg(F.sum("qtf").alias("qtf"))
+    return rank.bm25(index, q)
+
+
 QUERIES = {
     "tfidf_topk": tfidf_topk,
     "bool_and": _bool("memoria AND disco"),
@@ -164,6 +173,8 @@ QUERIES = {
     "metric_describe": lambda s, d: evaluate.describe(_metrics(s, d), ["model"], "ap"),
     "spearman_ap": lambda s, d: evaluate.spearman_measures(_metrics(s, d), "ap"),
     "spearman_ids": _spearman_ids,
+    "spearman_ap_p": lambda s, d: evaluate.with_p_value(evaluate.spearman_measures(_metrics(s, d), "ap")),
+    "porter_topk": _porter,
 }
 
 _T = lx._T

@@ -31,6 +31,21 @@ def numbered(files: DataFrame) -> DataFrame:
     return files.join(ids, "path").select("doc_id", "name", "text")
 
 
+def count_files(spark: SparkSession, path: str, suffix: str = ".html") -> int:
+    """Files under a folder whose name ends in ``suffix``, whatever its case; contents are not read."""
+    names = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(path).select("path")
+    return names.where(F.lower("path").endswith(suffix)).count()
+
+
+def blocks(spark: SparkSession, path: str, end: str = "</DOC>") -> DataFrame:
+    """(text) of the records of large files, cut behind ``end``: a file of any size is many rows and many tasks.
+
+    ``trec`` and ``topics`` (with ``end="</top>"``) read these rows as they read files.
+    """
+    rows = spark.read.option("lineSep", end).option("recursiveFileLookup", "true").text(path)
+    return rows.select(F.concat("value", F.lit(end)).alias("text"))
+
+
 def trec(files: DataFrame, keep_docno: bool = False) -> DataFrame:
     """(docno, text) of ``<DOC>`` blocks.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.operators import stats
@@ -37,6 +37,14 @@ def per_query(run: DataFrame, folder: str, key: str = "qid") -> None:
     run.repartition(key).sortWithinPartitions(key, "rank").write.mode("overwrite").partitionBy(key).option("header", "true").csv(folder)
 
 
+def human_bytes(n: Column) -> Column:
+    """A number of bytes with one decimal in B, KB, MB, GB or TB."""
+    out = F.format_string("%.1f TB", n / float(1 << 40))
+    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
+        out = F.when(n < float(1 << 10 * (power + 1)), F.format_string(f"%.1f {unit}", n / float(1 << 10 * power))).otherwise(out)
+    return out
+
+
 def table(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").parquet(folder)
 

@@ -92,3 +92,18 @@ def test_incremental_postings(spark, tmp_path):
 def test_windowed_counts(spark):
     e = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:00:00", "a", 4.0)], "t string, k string, v double").withColumn("t", F.col("t").cast("timestamp"))
     assert [r[2:] for r in rows(stream.windowed_counts(e, "t", "k", "v"))] == [(2, 3.0), (1, 4.0)]
+
+
+def test_blocks_of_large_files(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.trec").write_text("<DOC><DOCNO> A1 </DOCNO>uno\ndos</DOC>\n<DOC><DOCNO>B2</DOCNO>tres</DOC>\n")
+    (tmp_path / "c" / "y.HTML").write_text("x")
+    assert rows(files.trec(files.blocks(spark, str(tmp_path / "c")))) == [("A1", "uno\ndos"), ("B2", "tres")]
+    assert files.count_files(spark, str(tmp_path / "c")) == 1
+
+
+def test_human_bytes(spark):
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([(0,), (1023,), (1536,), (5 << 20,), (3 << 40,)], "n bigint").select(sinks.human_bytes(F.col("n"))).collect()
+    assert [r[0] for r in got] == ["0.0 B", "1023.0 B", "1.5 KB", "5.0 MB", "3.0 TB"]

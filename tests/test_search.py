@@ -181,3 +181,36 @@ def test_no_cartesian_product_in_ranking(spark, docs, posts):
     q = rank.query_terms(spark.createDataFrame([("1", "a b")], "qid string, query string"))
     plan = rank.bm25(rank.Index(posts, docs), q)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "PythonUDF" not in plan
+
+
+def test_p_values(spark):
+    """Against published values of Student's t: 2.228 at 10 degrees of freedom is 0.05, 12.706 at 1 and 1.96 at many."""
+    import numpy as np
+
+    got = evaluate._beta_tail(np.array([2.228139, 12.706205, 1.959964, 0.0]), np.array([10.0, 1.0, 1e7, 5.0]))
+    assert np.allclose(got, [0.05, 0.05, 0.05, 1.0], atol=1e-5)
+    r = spark.createDataFrame([(2, 1.0), (5, 1.0), (5, None), (12, 0.5)], "n bigint, rho double")
+    assert [x.p for x in evaluate.with_p_value(r).collect()][:3] == [None, 0.0, None]
+
+
+def test_heaps_by_token(spark):
+    p = spark.createDataFrame([(3, 0, "a"), (3, 1, "b"), (3, 2, "a"), (7, 0, "b"), (7, 1, "c")], "doc_id bigint, pos int, term string")
+    assert rows(laws.heaps_tokens(p)) == [(1, 1), (2, 2), (3, 2), (4, 2), (5, 3)]
+    assert [(r.term, r["rank"]) for r in laws.ranked_by_appearance(p).orderBy("rank").collect()] == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_ungapped_over_spans(spark):
+    p = spark.createDataFrame([("t", i, 2) for i in (0, 1, 65_535, 65_536, 200_000)] + [("u", 0, 5)], "term string, position bigint, gap bigint")
+    assert [r[2] for r in rows(ix.ungapped(p)) if r[0] == "t"] == [2, 4, 6, 8, 10]
+
+
+def test_skips_read_few_blocks(spark, tmp_path):
+    df = spark.createDataFrame([(i, "a" + (" b" if i % 7 == 0 else "") + (" c" if i in (70, 700) else "")) for i in range(1000)], "doc_id bigint, text string")
+    ix.build(df, str(tmp_path / "i"))
+    posts, skips = (spark.read.parquet(str(tmp_path / "i" / t)) for t in ("postings", "skips"))
+    assert [r[0] for r in rows(ix.skip_and(posts, skips, ["c", "b", "a"]))] == [70, 700]
+    assert rows(ix.skip_and(posts, skips, ["c", "nosuch"])) == []
+    t = spark.createDataFrame([("b", 8), ("b", 994), ("b", 995), ("zz", 1)], "term string, target bigint")
+    assert rows(ix.advance(posts, skips, t)) == [("b", 8, 14), ("b", 994, 994), ("b", 995, None), ("zz", 1, None)]
+    plan = ix.read_postings(posts, "c")._jdf.queryExecution().executedPlan().toString()
+    assert "In(term" in plan or "EqualTo(term" in plan
