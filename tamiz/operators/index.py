@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tamiz.functions import codec
 from tamiz.functions import text as tx
 from tamiz.operators import skew, stats
 from tamiz.session import checkpointed, shared_folder
@@ -27,8 +29,8 @@ def build(docs: DataFrame, folder: str, pattern: str = tx.LETTERS) -> None:
 
     postings: (term, doc_id, tf, doc_len, block), sorted and range-partitioned by term and document; vocab:
     (term, cf, df); docs: (doc_id, doc_len, norm, log_norm), the norms of both TF-IDF weightings; skips: (term,
-    block, size, first_doc, last_doc), blocks of the whole root of the list's length; totals: one row, written last, which
-    marks the index as complete.
+    block, size, first_doc, last_doc), blocks of the whole root of the list's length; compressed: the lists in the codecs of
+    :mod:`tamiz.functions.codec`; totals: one row, written last, which marks the index as complete.
     """
     posts = checkpointed(stats.postings(stats.occurrences(docs, pattern)))
     stats.vocabulary(posts).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/vocab")
@@ -42,6 +44,7 @@ def build(docs: DataFrame, folder: str, pattern: str = tx.LETTERS) -> None:
     w.groupBy("doc_id").agg(F.first("doc_len").alias("doc_len"), norm("w").alias("norm"), norm("l").alias("log_norm")).write.mode("overwrite").parquet(f"{folder}/docs")
     skips = done.groupBy("term", "block").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     skips.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{folder}/skips")
+    codec.compressed(done.select("term", "doc_id", "tf")).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{folder}/compressed")
     t = vocab.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("n_tokens"), F.count(F.lit(1)).alias("n_terms"))
     t.select(F.lit(n).cast("bigint").alias("n_docs"), "n_tokens", "n_terms", F.lit(lengths.count()).cast("bigint").alias("n_full")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
 
@@ -81,6 +84,16 @@ def read_postings(index: DataFrame, *terms: str) -> DataFrame:
     return index.where(F.col("term").isin(*terms))
 
 
+def held_postings(index: DataFrame, *terms: str) -> DataFrame:
+    """As :func:`read_postings`, kept in memory (and on disk beyond it) for repeated reads; ``unpersist`` lets them go."""
+    return read_postings(index, *terms).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """(index_no, chunks, records) of spilled runs; records without an index are left out."""
+    return chunks.where("index_no is not null").groupBy("index_no").agg(F.countDistinct("chunk_id").alias("chunks"), F.count(F.lit(1)).alias("records"))
+
+
 def advance(posts: DataFrame, skips: DataFrame, targets: DataFrame) -> DataFrame:
     """(term, target, doc_id): the first document of a term's list from ``target`` on; null where the list ends before.
 

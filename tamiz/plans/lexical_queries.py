@@ -9,7 +9,7 @@ from tamiz.functions import stem
 from tamiz.functions import text as tx
 from tamiz.operators import index as ix
 from tamiz.operators import laws, stats
-from tamiz.session import table
+from tamiz.session import spread, table
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +43,7 @@ def _positions(spark: SparkSession, d: str) -> DataFrame:
 
 def _class(name: str, version: int = 2):
     def q(spark: SparkSession, d: str) -> DataFrame:
-        t = docs(spark, d).select("doc_id", F.explode(tx.structured("text", version)[name]).alias("token"))
+        t = tx.structured_columns(spread(docs(spark, d)), "text", version).select("doc_id", F.explode(name).alias("token"))
         return t.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
     return q
@@ -61,8 +61,8 @@ def _alone(pattern: str):
 
 def _structured(version: int):
     def q(spark: SparkSession, d: str) -> DataFrame:
-        c = tx.structured("text", version)
-        return docs(spark, d).select("doc_id", *[F.size(v).alias(f"n_{k}") for k, v in c.items()])
+        c = tx.structured_columns(spread(docs(spark, d)), "text", version)
+        return c.select("doc_id", *[F.size(k).alias(f"n_{k}") for k in c.columns if k not in ("doc_id", "text")])
 
     return q
 
@@ -148,7 +148,54 @@ _HT = f"select n, sum((f = n)::int) over (order by n)::bigint as v from (select
 _FOUND = "select token, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest({}) as token from documents) group by token"
 _STOP = f"select term from ({_R}) where rank <= 50"
 
+
+
+def _cascade_sql(version: int) -> str:
+    """CTEs s0 to s8: the text after each class is deleted, and c1 to c9 the tokens of each class.
+
+    RE2 knows no look-around, so runs of word characters are marked with characters 1 and 2 where the boundaries are patterns'.
+    """
+    nd = r"\p{Nd}"
+    marked = {
+        "date": rf"\x01{nd}{{1,4}}\x02[-/]\x01{nd}{{1,2}}\x02[-/]\x01{nd}{{1,4}}\x02",
+        "number": rf"\x01{nd}+(?:\x02[\.,]\x01{nd}+)?\x02",
+        "abbreviation": {1: r"(?:\x01[A-Z]+[a-z]*\x02\.)+(?:\x01[A-Z]+)?", 2: r"(?:\x01[A-Z][a-z]*\x02\.)+"}[version],
+        "acronym": r"\x01[A-Z]{2,}\x02",
+        "name": r"\x01[A-Z][a-z]+(?:\x02 \x01[A-Z][a-z]+)*\x02",
+    }
+    mark = r"regexp_replace(t, '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(2), 'g')"
+    bare = lambda e: f"replace(replace({e}, chr(1), ''), chr(2), '')"
+    out, kept = ["s0 as (select doc_id, text as t from documents)"], []
+    for i, (name, pattern) in enumerate(tx._classes(version), 1):
+        if name in marked:
+            found = f"list_transform(regexp_extract_all({mark}, '{marked[name]}'), lambda x: {bare('x')})"
+            rest = bare(f"regexp_replace({mark}, '{marked[name]}', '', 'g')")
+        else:
+            found, rest = f"regexp_extract_all(t, '{pattern}')", f"regexp_replace(t, '{pattern}', '', 'g')"
+        out.append(f"s{i} as materialized (select doc_id, {''.join(k + ', ' for k in kept)}{found} as c_{name}, {rest} as t from s{i - 1})")
+        kept.append(f"c_{name}")
+    out.append(f"s9 as (select *, regexp_extract_all(lower(replace(t, chr(304), 'i' || chr(775))), '{tx.LETTERS}') as c_letters from s8)")
+    return "with " + ", ".join(out)
+
+
+def _class_sql(name: str, version: int = 2) -> str:
+    return f"{_cascade_sql(version)} select token, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest(c_{name}) as token from s9) group by token"
+
+
+def _structured_sql(version: int) -> str:
+    names = [k for k, _ in tx._classes(version)] + ["letters"]
+    return f"{_cascade_sql(version)} select doc_id, {', '.join(f'len(c_{k})::int as n_{k}' for k in names)} from s9"
+
+
 SQL = {
+    "tok_date": _class_sql("date"),
+    "tok_phone_v1": _class_sql("phone", 1),
+    "tok_phone": _class_sql("phone"),
+    "tok_number": _class_sql("number"),
+    "tok_abbreviation": _class_sql("abbreviation"),
+    "tok_names": _class_sql("name"),
+    "structured_tokens_v1": _structured_sql(1),
+    "structured_tokens": _structured_sql(2),
     "word_count": _COUNT.format(_TOK.format(tx.WORD)),
     "word_count_ascii": _COUNT.format(_TOK.format(tx.ASCII)),
     "word_count_spanish": _COUNT.format(_TOK.format(tx.SPANISH)),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamiz.functions import stem
+from tamiz.functions import codec, stem
 from tamiz.functions import text as tx
 from tamiz.operators import boolean, evaluate, rank, stats
 from tamiz.operators import index as ix
@@ -69,6 +69,12 @@ def _bool_batch(spark: SparkSession, d: str) -> DataFrame:
     return n.select("qid", F.inline(F.when(F.col("size") == 2, two).otherwise(three)))
 
 
+def _stored_lists(spark: SparkSession, d: str) -> DataFrame:
+    """(term, df, cf, ids) of the stored compressed lists, decoded."""
+    back = codec.decompressed(_part("compressed")(spark, d))
+    return back.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.sum("doc_id").alias("ids"))
+
+
 def _targets(spark: SparkSession, d: str) -> DataFrame:
     """Every hundredth document as a target in three lists."""
     at = lx.docs(spark, d).where("doc_id % 100 = 0").select("doc_id").distinct()
@@ -149,6 +155,8 @@ QUERIES = {
     "index_roundtrip": lambda s, d: _posts(s, d).select("term", "doc_id", "tf", "doc_len"),
     "index_norms": lambda s, d: _part("docs")(s, d).select("doc_id", "doc_len", F.round("norm", 6).alias("norm"), F.round("log_norm", 6).alias("log_norm")),
     "index_skips": _skips,
+    "index_compressed": _stored_lists,
+    "chunk_counts": lambda s, d: ix.chunk_counts(table(s, d, "posting_chunk")),
     "posting_ge": lambda s, d: ix.advance(_posts(s, d), _skips(s, d), _targets(s, d)),
     "skip_and": lambda s, d: ix.skip_and(_posts(s, d), _skips(s, d), ["memoria", "disco"]),
     "skip_and3": lambda s, d: ix.skip_and(_posts(s, d), _skips(s, d), ["bloque", "memoria", "disco"]),
@@ -255,6 +263,8 @@ SQL = {
     "posting_lookup": f"select * from ({_P}) where term in ('memoria', 'nosuchterm')",
     "index_roundtrip": f"with p as ({_P}) select term, doc_id, tf, sum(tf) over (partition by doc_id)::bigint as doc_len from p",
     "index_norms": f"with p as ({_P}), v as (select term, ln({_NUM} / count(*)) as idf from p group by term) select doc_id, sum(tf)::bigint as doc_len, round(sqrt(sum((tf * idf) ** 2)), 6) as norm, round(sqrt(sum(((1 + ln(tf)) * idf) ** 2)), 6) as log_norm from p join v using (term) group by doc_id",
+    "index_compressed": f"select term, count(*) as df, sum(tf)::bigint as cf, sum(doc_id)::bigint as ids from ({_P}) group by term",
+    "chunk_counts": "select index_no, count(distinct chunk_id) as chunks, count(*) as records from posting_chunk where index_no is not null group by index_no",
     "index_skips": f"""with p as ({_P}), r as (select *, row_number() over (partition by term order by doc_id) - 1 as i, greatest(1, floor(sqrt(count(*) over (partition by term)))) as step from p)
   select term, floor(i / step)::int as block, count(*) as size, min(doc_id) as first_doc, max(doc_id) as last_doc from r group by 1, 2""",
     "posting_ge": f"with p as materialized ({_P}), t as (select unnest(['memoria', 'disco', 'bloque']) as term, doc_id as target from (select distinct doc_id from documents where doc_id % 100 = 0)) select term, target, (select min(doc_id) from p where p.term = t.term and p.doc_id >= t.target) as doc_id from t",
