@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from tamiz.functions import codec
 from tamiz.functions import text as tx
 from tamiz.operators import skew, stats
-from tamiz.session import checkpointed, shared_folder
+from tamiz.session import checkpointed, kept
 
 _SPAN = 65536
 
@@ -63,20 +61,8 @@ def _blocked(posts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def stored(spark: SparkSession, docs: DataFrame, key: str, again: bool = False) -> str:
-    """The folder of the index of ``docs``; built if it is not there or is to be built again.
-
-    It lies in the shared checkpoint folder under ``key`` and the files' names, sizes and times, so that another input is
-    another index.
-    """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = lambda f: jvm.org.apache.hadoop.fs.Path(f)
-    state = lambda p: (p.toString(), *(lambda s: (s.getLen(), s.getModificationTime()))(p.getFileSystem(conf).getFileStatus(p)))
-    said = hashlib.sha256(repr(sorted(state(at(f)) for f in docs.inputFiles())).encode()).hexdigest()[:16]
-    folder = f"{shared_folder(spark)}/tamiz-index/{key}-{said}"
-    mark = at(f"{folder}/totals/_SUCCESS")
-    if again or not mark.getFileSystem(conf).exists(mark):
-        build(docs, folder)
-    return folder
+    """The folder of the index of ``docs``; built if it is not there or is to be built ``again``."""
+    return kept(spark, docs, f"index-{key}", lambda folder: build(docs, folder), again)
 
 
 def read_postings(index: DataFrame, *terms: str) -> DataFrame:

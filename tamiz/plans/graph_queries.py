@@ -14,7 +14,8 @@ from tamiz.functions import codec, stem, urls
 from tamiz.operators import graph, langid, stats
 from tamiz.plans import lexical_queries as lx
 from tamiz.plans import search_queries as sq
-from tamiz.session import table
+from tamiz.session import checkpointed, kept, table
+from tamiz.sources import sinks
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("lang", "text")
@@ -57,8 +58,18 @@ def _seeds(spark: SparkSession, d: str) -> list[str]:
     return [r.url for r in pages(spark, d).groupBy(urls.authority("url").alias("host")).agg(F.min("url").alias("url")).orderBy("host").limit(SEEDS).collect()]
 
 
-def _crawl(spark: SparkSession, d: str):
-    return graph.crawl(graph.links(pages(spark, d)), _seeds(spark, d), **CRAWL)
+def _crawl(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The crawl's graph, saved once and loaded after that."""
+
+    def save(folder: str) -> None:
+        sinks.graph(*graph.crawl(graph.links(checkpointed(pages(spark, d))), _seeds(spark, d), **CRAWL), folder)
+
+    return sinks.load_graph(spark, kept(spark, table(spark, d, "read_corpus"), "crawl", save))
+
+
+def _scores(spark: SparkSession, d: str, name: str, f) -> DataFrame:
+    """Scores of the web's pages, saved once and loaded after that."""
+    return spark.read.parquet(kept(spark, table(spark, d, "read_corpus"), name, lambda folder: sinks.table(f(_edges(spark, d)), f"{folder}/scores")) + "/scores")
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
@@ -70,11 +81,11 @@ def _round(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return _round(graph.pagerank(_edges(spark, d)), "score")
+    return _round(_scores(spark, d, "pagerank", graph.pagerank), "score")
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return _round(graph.hits(_edges(spark, d)), "hub", "authority")
+    return _round(_scores(spark, d, "hits", graph.hits), "hub", "authority")
 
 
 def _overlap(spark: SparkSession, d: str) -> DataFrame:

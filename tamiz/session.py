@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(spark: SparkSession, source: DataFrame, key: str, make: Callable[[str], None], again: bool = False) -> str:
+    """A folder of tables made from ``source`` by ``make(folder)``; made if it is not there or is to be made ``again``.
+
+    It lies in the shared checkpoint folder under ``key`` and the names, sizes and times of the source's files, so that another
+    input is another folder.  A mark is written last: what was broken off is made anew.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda f: jvm.org.apache.hadoop.fs.Path(f)
+    state = lambda p: (p.toString(), *(lambda s: (s.getLen(), s.getModificationTime()))(p.getFileSystem(conf).getFileStatus(p)))
+    said = hashlib.sha256(repr(sorted(state(at(f)) for f in source.inputFiles())).encode()).hexdigest()[:16]
+    folder = f"{shared_folder(spark)}/tamiz-{key}-{said}"
+    mark = at(f"{folder}/_DONE")
+    if again or not mark.getFileSystem(conf).exists(mark):
+        make(folder)
+        mark.getFileSystem(conf).create(mark, True).close()
+    return folder
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
