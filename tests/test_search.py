@@ -151,9 +151,9 @@ def test_crawl_matches_queue(spark):
 
 def test_pagerank_sums_to_one_with_dangling_nodes(spark):
     e = spark.createDataFrame([(1, 2), (1, 2), (2, 2), (2, 3), (3, 1), (3, 4)], "src bigint, dst bigint")
-    got = dict(rows(graph.pagerank(e)))
+    got = dict(rows(graph.pagerank(e, 10)))
     assert abs(sum(got.values()) - 1) < 1e-9 and len(got) == 4
-    h = {r.id: r for r in graph.hits(e).collect()}
+    h = {r.id: r for r in graph.hits(e, 8).collect()}
     assert abs(sum(r.hub for r in h.values()) - 1) < 1e-9 and h[4].hub == 0
     assert rows(graph.pagerank(e.where("src > 9"))) == [] and rows(graph.hits(e.where("src > 9"))) == []
 
