@@ -9,13 +9,14 @@ projections of the metric space, joined on their own and exactly:
   y in at least one group (the bounds on common shingles add up over groups); so each region
   joins parts, and what no region finds cannot be a pair.
 * Inside a region single shingles are the pivots: a part belongs to the cells of its prefix, rarest
-  shingles first, as long as a partner of similarity t can require.  Cells are hashed to as many
-  regions a group as memory asks for; a part travels to each region that its prefix names, so often at
-  most as its prefix is long, whatever the number of documents.  The empty set's triangle
-  inequality gives a window of sizes.
-* Pairs that meet in a cell pass a bound from 64 bits a part, then the parts are compared in full, and
-  a pair is told by the region of its first common shingle only.  Common shingles of all groups add
-  up to a lower bound of the pair's similarity; pairs that it leaves open are compared over whole sets.
+  shingles first, as long as a partner of similarity t can require.  To a cell travels a posting of
+  fixed size, not the part: the set's name, the shingle and its place, the part's size and 128 bits of it.
+  Cells are hashed to as many regions a group as memory asks for; as a posting goes to one region, what
+  travels does not depend on their number.  The empty set's triangle inequality gives a window of sizes.
+* Pairs that meet in a cell pass a bound from the 128 bits; all pairs that do so are compared over whole
+  sets, which are sent once for each pair.
+* Groups are joined a few at a time, and pairs are compared in turns; the files of one turn are deleted before
+  the next, so that the disk in use at once is bounded by a multiple of the sets.
 
 Nothing is sampled and no list is capped, so every pair is found; orders and counts decide
 the cost only.  Records with equal shingle sets form one class; classes are joined, not records, and
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +42,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm import boilerplate as bp
-from tamiz.session import checkpointed
+from tamiz.session import checkpointed, passing
 
 WORDS, THRESHOLD = 3, 0.5
 GROUPS, BYTES = 12, 6
-REGION = 48 << 20  # bytes of shingles in a region
+REGION = 8 << 20  # bytes of shingles in a region
+TURNS, TURN = 3, 4 << 20  # most turns over the groups, and the bytes of shingles from which one more pays
 CHUNK = 262_144  # postings joined at once in a region: memory, not results
 CELLS = (1 << 20, 1 << 24)  # least and most of the count sketch, a byte each
-BROADCAST = 1_000_000  # open pairs, of two numbers each
+BITS = (1 << 20, 1 << 27)  # least and most of the bitmap of sets to compare
+TURN_PAIRS = 50_000  # pairs compared in a turn, at least; else half the number of records
+COMPARED = 4_000  # pairs compared at once, under 65,536
+SLICE = 20_000  # classes in a block of postings, under 65,536
 LIST = 512  # members of a class in one list
 
 
@@ -179,7 +185,9 @@ def _summed(rows: DataFrame, make, cells: int) -> np.ndarray:
     joined.__annotations__ = {"key": tuple[pa.Scalar, ...], "parts": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     got = rows.mapInArrow(run, "block int, part binary").groupBy("block").applyInArrow(joined, "block int, part binary")
     out = np.zeros(cells, np.uint32)
-    for r in got.collect():  # cells / 65536 rows at most
+    with passing(rows.sparkSession):
+        summed = got.select("*").collect()  # cells / 65536 rows at most
+    for r in summed:
         out[r.block * block : (r.block + 1) * block] = np.frombuffer(bytes(r.part), np.uint32)
     return out
 
@@ -203,143 +211,148 @@ def base_prefix(n: np.ndarray, t: float) -> np.ndarray:
     return n - np.ceil(n * t - 1e-9).astype(np.int64) + 1
 
 
-def _cell(h: np.ndarray, cells: int) -> np.ndarray:
-    return (_mixed(h) % np.uint64(cells)).astype(np.int64)
+def _blocks(region: np.ndarray, part: np.ndarray, about: tuple, token: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(32-bit words, ends, region): a block for each region, of postings sorted by region and part.
 
-
-def _emitter(rank: np.ndarray, groups: int, cells: int, t: float, label: np.ndarray):
-    """The part of each class and group, shingles rarest first: one row for each cell that its prefix names.
-
-    A partition emits a class once, so that copies of one text, however many, give a row a partition.
+    A block is the number of its parts, then for each the set's name, two words of 64 bits and the size, then for each posting the
+    shingle, and its place and the number of its part in the block.
+    """
+    new_row = np.r_[True, region[1:] != region[:-1]]
+    new = new_row | np.r_[True, part[1:] != part[:-1]]
+    row, one = np.cumsum(new_row) - 1, np.flatnonzero(new)
+    parts, posts = np.bincount(row[one]), np.bincount(row)
+    size = 1 + 7 * parts + 2 * posts
+    ends = np.r_[0, np.cumsum(size)]
+    words = np.empty(ends[-1], np.uint32)
+    words[ends[:-1]] = parts
+    local = np.cumsum(new) - 1 - (np.cumsum(parts) - parts)[row]
+    at = ends[row[one]] + 1 + 7 * local[one]
+    for k, x in enumerate(about[:3]):
+        x = x.view(np.uint64)[part[one]]
+        words[at + 2 * k], words[at + 2 * k + 1] = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)
+    words[at + 6] = about[3][part[one]]
+    at = (ends[:-1] + 1 + 7 * parts)[row] + 2 * (np.arange(len(row)) - (np.cumsum(posts) - posts)[row])
+    words[at] = token
+    words[at + 1] = np.minimum(pos, 65535) << 16 | local  # a smaller place only weakens the bound
+    return words, ends, region[new_row]
+
+
+def _postings(blocks: pa.Array) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray]:
+    """((name, bits, bits, size) of parts, part, shingle, place of postings), of all blocks."""
+    words, size = _blob(blocks, np.uint32)
+    start = np.cumsum(size) - size
+    parts = words[start].astype(np.int64)
+    posts = (size - 1 - 7 * parts) // 2
+    before = np.cumsum(parts) - parts
+    at = np.repeat(start + 1 - 7 * before, parts) + 7 * np.arange(int(parts.sum()))
+    wide = [words[at + k].astype(np.uint64) | words[at + k + 1].astype(np.uint64) << np.uint64(32) for k in (0, 2, 4)]
+    about = wide[0].view(np.int64), wide[1], wide[2], words[at + 6].astype(np.int64)
+    at = np.repeat(start + 1 + 7 * parts - 2 * (np.cumsum(posts) - posts), posts) + 2 * np.arange(int(posts.sum()))
+    last = words[at + 1].astype(np.int64)
+    return about, (last & 65535) + np.repeat(before, posts), words[at].astype(np.int64), last >> 16
+
+
+def _emitter(rank: np.ndarray, groups: int, cells: int, t: float, label: np.ndarray, begin: int = 0, end: int | None = None):
+    """The postings of the prefixes of each class in the groups from ``begin`` to ``end``: one row a batch and region.
+
+    A partition emits a class once, so that copies of one text, however many, give their postings once a partition.
     """
     drop = np.uint64(48 - int(np.log2(len(rank))))
+    end = groups if end is None else end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (x.slice(at, SLICE) for x in batches for at in range(0, x.num_rows, SLICE)):
             sig = batch.column("sig").to_pylist()
             fresh = [i for i, x in enumerate(sig) if not (x in seen or seen.add(x))]
             if len(fresh) < len(sig):
                 batch = batch.take(pa.array(fresh, pa.int64()))
             h, n = _hashes(batch.column("hashes"))
+            doc, g = np.repeat(np.arange(len(n)), n), (h % np.uint64(groups)).astype(np.int64)
+            if begin > 0 or end < groups:
+                mine = np.flatnonzero((g >= begin) & (g < end))
+                h, doc, g = h[mine], doc[mine], g[mine]
             if not len(h):
                 continue
-            doc = np.repeat(np.arange(len(n)), n)
-            g = (h % np.uint64(groups)).astype(np.int64)
-            o = np.lexsort((h, rank[(h >> drop).astype(np.int64)], doc, g))
-            h, part = h[o], (g * len(n) + doc)[o]
-            begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            ends = np.r_[begin, len(h)]
-            size = np.diff(ends)
-            blob = _packed(h, ends)
-            pos = np.arange(len(h)) - np.repeat(begin, size)
-            use = np.flatnonzero(pos < np.repeat(base_prefix(size, t), size))
-            to = np.unique(np.repeat(np.arange(len(begin)), size)[use] * cells + _cell(h[use], cells))
-            row, cell = to // cells, to % cells
-            doc, group = part[begin][row] % len(n), part[begin][row] // len(n)
-            rest = [batch.column(c).take(pa.array(doc)) for c in ("sig", "size")]
-            yield pa.record_batch([pa.array(label[group * cells + cell]), *rest, blob.take(pa.array(row))], names=["region", "sig", "size", "part"])
+            # shingles of a set are stored in order, so that a stable sort leaves those of a rank in order
+            o = np.argsort(((g - begin) * len(n) + doc) * 256 + rank[(h >> drop).astype(np.int64)], kind="stable")
+            h, doc, g = h[o], doc[o], g[o]
+            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])])
+            size = np.diff(np.r_[first, len(h)])
+            mixed = _mixed(h)
+            bit, upper = np.uint64(1) << (mixed >> np.uint64(58)), mixed & np.uint64(1 << 57) > 0
+            bits, more = (np.bitwise_or.reduceat(np.where(x, bit, np.uint64(0)), first) for x in (~upper, upper))
+            part = np.repeat(np.arange(len(first)), size)
+            pos = np.arange(len(h)) - first[part]
+            use = np.flatnonzero(pos < base_prefix(size, t)[part])
+            region = (g[use] - begin) * cells + (mixed[use] % np.uint64(cells)).astype(np.int64)
+            o = np.argsort(region, kind="stable")
+            use, region, part = use[o], region[o], part[use[o]]
+            name = batch.column("sig").to_numpy(zero_copy_only=False)[doc[first]]
+            words, ends, row = _blocks(region, part, (name, bits, more, size), mixed[use] >> np.uint64(32), pos[use])
+            blob = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer((ends * 4).astype(np.int64).tobytes()), pa.py_buffer(words.tobytes())])
+            yield pa.record_batch([pa.array(label[row]), blob.cast(pa.binary())], names=["region", "part"])
 
     return run
 
 
-class Region:
-    """The parts of one region, one for each class."""
-
-    def __init__(self, table: pa.Table):
-        sig, size = (table.column(c).to_numpy() for c in ("sig", "size"))
-        h, n = _hashes(table.column("part"))
-        self.sig, one = np.unique(sig, return_index=True)
-        start = np.cumsum(n) - n
-        self.size, self.n = size[one].astype(np.int64), n[one]
-        self.begin = np.cumsum(self.n) - self.n
-        self.pos = np.arange(int(self.n.sum())) - np.repeat(self.begin, self.n)
-        self.h = h[self.pos + np.repeat(start[one], self.n)]
-        self.doc = np.repeat(np.arange(len(one)), self.n)
-        distinct, self.token = np.unique(self.h, return_inverse=True)
-        self.width = max(1, len(distinct))
-        bit = (_mixed(self.h) >> np.uint64(58)).astype(np.uint64)
-        self.bits = np.zeros(len(one), np.uint64)
-        if len(one):
-            self.bits = np.bitwise_or.reduceat(np.uint64(1) << bit, self.begin)  # no part is empty
-        self.keys = None
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shingles common to the parts a[i] and b[i], and the row of the first of them in a (-1: none)."""
-        if self.keys is None:
-            self.keys = np.sort(self.doc * self.width + self.token)
-        out, first = np.zeros(len(a), np.int64), np.full(len(a), -1, np.int64)
-        for at in range(0, len(a), 200_000):  # bounds the memory, not the work
-            x, y = a[at : at + 200_000], b[at : at + 200_000]
-            n = self.n[x]
-            flat = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.begin[x], n)
-            want = np.repeat(y, n) * self.width + self.token[flat]
-            hit = np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)] == want)
-            pair = np.repeat(np.arange(len(x)), n)[hit]
-            out[at : at + 200_000] = np.bincount(pair, minlength=len(x))
-            head = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else pair
-            first[at + pair[head]] = flat[hit[head]]
-        return out, first
-
-    def pairs(self, t: float, cell: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(x, y, common): pairs of parts of similarity t whose first common shingle belongs to ``cell``."""
-        share = t / (1 + t)
-        take = np.flatnonzero((self.pos < base_prefix(self.n, t)[self.doc]) & ((_cell(self.h, cells) == cell) if cells > 1 else True))
-        doc, token, pos = self.doc[take], self.token[take], self.pos[take]
-        o = np.lexsort((doc, self.n[doc], token))
-        doc, token, pos = doc[o].astype(np.int32), token[o], pos[o]
-        z = self.n[doc]
-        # were this the first common shingle, at most z - pos are common: that bounds the partner's size
-        reach = (z - pos + 1e-3) / share - z
-        # lists run by size and document: partners of a posting are the run after it up to a size
-        span = int(z.max(initial=0)) + 2
-        most = np.floor(np.minimum(reach, (z + 1e-3) / t)).astype(np.int64)
-        stop = np.searchsorted(token * span + z, token * span + np.minimum(most, span - 1), "right") - np.arange(len(z)) - 1
-        core = np.flatnonzero((stop > 0) & (most >= z))
-        low = reach.astype(np.float32)
-        # similarity t needs that many common shingles; the differing bits bound how many there can be
-        bits, n = self.bits[doc], z.astype(np.int32)
-        need = np.ceil(np.arange(2 * span + 1) * share - 1e-9)
-        slack = np.floor(np.arange(2 * span + 1) - 2 * need).astype(np.int8 if span < 60 else np.int32)  # most differing bits for a sum of sizes
-        found = [np.empty(0, np.int64)]
-        for begin in range(0, len(core), CHUNK):
-            at = core[begin : begin + CHUNK]
-            at = at[np.argsort(-stop[at], kind="stable")].astype(np.int32)
-            more, size, mine, first_of = -stop[at], n[at], bits[at], doc[at]
-            keys, d = [], np.int32(1)
-            while (m := int(np.searchsorted(more, -d, "right"))) > 0:
-                b = at[:m] + d
-                total = size[:m] + n[b]
-                ok = np.flatnonzero((np.bitwise_count(mine[:m] ^ bits[b]) <= slack[total]) & (low[b] >= size[:m]))
-                if len(ok):
-                    keys.append(first_of[ok].astype(np.int64) * len(self.sig) + doc[b[ok]])
-                d += np.int32(1)
-            if keys:
-                found.append(np.unique(np.concatenate(keys)))
-        pair = np.unique(np.concatenate(found))
-        x, y = pair // max(1, len(self.sig)), pair % max(1, len(self.sig))
-        count, first = self.common(x, y)
-        same = count >= np.ceil((self.n[x] + self.n[y]) * share - 1e-9)
-        x, y, count, first = x[same], y[same], count[same], first[same]
-        if cells > 1 and len(x):  # a pair may meet in several cells of a group and is told in one
-            here = _cell(self.h[first], cells) == cell
-            x, y, count = x[here], y[here], count[here]
-        return x, y, count
-
-
-_FOUND = "a bigint, b bigint, common int, size int"
-
-
-def _joiner(t: float, cells: int, label: np.ndarray):
-    at = {int(x): i for i, x in enumerate(label)}
-
-    def run(key, table: pa.Table) -> pa.Table:
-        r = Region(table)
-        x, y, n = r.pairs(t, at[int(key[0].as_py())] % cells, cells)
-        a, b = r.sig[x], r.sig[y]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "common": pa.array(n.astype(np.int32)), "size": pa.array((r.size[x] + r.size[y]).astype(np.int32))})
-
-    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "table": pa.Table, "return": pa.Table}
+def candidates(blocks: pa.Array, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), a < b, distinct: sets whose parts meet in a shingle of a region's postings and may have similarity t.
+
+    Shingles are known by 32 bits beside their region: two that agree can only add candidates.
+    """
+    share = t / (1 + t)
+    about, doc, token, pos = _postings(blocks)
+    sig, one, same = np.unique(about[0], return_index=True, return_inverse=True)
+    width, doc = max(1, len(sig)), same[doc]
+    bits, more_bits, n_of = (x[one] for x in about[1:])
+    o = np.lexsort((pos, doc, n_of[doc], token))
+    doc, token, pos = doc[o], token[o], pos[o]
+    if len(doc):  # a class comes from each partition that has it
+        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (token[1:] != token[:-1])])
+        doc, token, pos = doc[new], token[new], pos[new]
+    doc, z = doc.astype(np.int32), n_of[doc]
+    # were this the first common shingle, at most z - pos are common: that bounds the partner's size
+    reach = (z - pos + 1e-3) / share - z
+    # lists run by size and document: partners of a posting are the run after it up to a size
+    span = int(z.max(initial=0)) + 2
+    most = np.floor(np.minimum(reach, (z + 1e-3) / t)).astype(np.int64)
+    stop = np.searchsorted(token * span + z, token * span + np.minimum(most, span - 1), "right") - np.arange(len(z)) - 1
+    core = np.flatnonzero((stop > 0) & (most >= z))
+    low = reach.astype(np.float32)
+    # similarity t needs that many common shingles; the differing bits bound how many there can be
+    bits, more_bits, n = bits[doc], more_bits[doc], z.astype(np.int32)
+    need = np.ceil(np.arange(2 * span + 1) * share - 1e-9)
+    slack = np.floor(np.arange(2 * span + 1) - 2 * need).astype(np.int8 if span < 60 else np.int32)  # most differing bits for a sum of sizes
+    found = [np.empty(0, np.int64)]
+    for begin in range(0, len(core), CHUNK):
+        at = core[begin : begin + CHUNK]
+        at = at[np.argsort(-stop[at], kind="stable")].astype(np.int32)
+        more, size, mine, mine_too, first_of = -stop[at], n[at], bits[at], more_bits[at], doc[at]
+        keys, d = [], np.int32(1)
+        while (m := int(np.searchsorted(more, -d, "right"))) > 0:
+            b = at[:m] + d
+            total = size[:m] + n[b]
+            ok = np.flatnonzero((np.bitwise_count(mine[:m] ^ bits[b]) <= slack[total]) & (low[b] >= size[:m]))
+            if len(ok):
+                x = mine[:m][ok] ^ bits[b[ok]], mine_too[:m][ok] ^ more_bits[b[ok]]
+                ok = ok[np.bitwise_count(x[0]).astype(np.int32) + np.bitwise_count(x[1]) <= slack[total[ok]]]
+            if len(ok):
+                x, y = first_of[ok].astype(np.int64), doc[b[ok]].astype(np.int64)
+                keys.append(np.minimum(x, y) * width + np.maximum(x, y))  # sig is sorted, so the smaller is a
+            d += np.int32(1)
+        if keys:
+            found.append(np.unique(np.concatenate(keys)))
+    pair = np.unique(np.concatenate(found))
+    return sig[pair // width], sig[pair % width]
+
+
+def _joiner(t: float):
+    def run(table: pa.Table) -> pa.Table:
+        a, b = candidates(table.column("part"), t)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    run.__annotations__ = {"table": pa.Table, "return": pa.Table}
     return run
 
 
@@ -359,48 +372,87 @@ def _labels(spark, n: int) -> np.ndarray:
 def cells_for(total: int, groups: int, region: int = REGION) -> int:
     """Cells a group, so that a region holds about ``region`` bytes of shingles.
 
-    A part goes to as many cells as its prefix names, half its shingles at most: what is emitted is bounded by that
-    multiple of the input, and does not depend on the number of cells.
+    A posting goes to one cell, so what is emitted does not depend on the number of cells.
     """
     return max(1, math.ceil(total * BYTES / groups / region))
 
 
 def _exact():
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+    def common(a: pa.Array, b: pa.Array) -> np.ndarray:
         x, n = _hashes(a)
         y, m = _hashes(b)
-        i, j = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
-        both, row = np.concatenate([x, y]), np.concatenate([i, j])
-        o = np.lexsort((both, row))
-        h, r = both[o], row[o]
-        twice = np.flatnonzero((h[1:] == h[:-1]) & (r[1:] == r[:-1])) if len(h) else np.empty(0, np.int64)
-        return pa.array(np.bincount(r[twice], minlength=len(n)).astype(np.int32))
+        row = np.arange(len(n), dtype=np.uint64) << np.uint64(48)  # above the 48 bits of a shingle
+        both = np.sort(np.concatenate([x | np.repeat(row, n), y | np.repeat(row, m)]))
+        twice = both[1:][both[1:] == both[:-1]]
+        return np.bincount((twice >> np.uint64(48)).astype(np.int64), minlength=len(n)).astype(np.int32)
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        got = [common(a.slice(at, COMPARED), b.slice(at, COMPARED)) for at in range(0, len(a), COMPARED)]
+        return pa.array(np.concatenate([np.empty(0, np.int32), *got]))
 
     run.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
     return F.arrow_udf("int")(run)
 
 
-def class_pairs(sets: DataFrame, t: float = THRESHOLD, groups: int = GROUPS, region: int = REGION) -> DataFrame:
-    """(a, b): pairs of classes, by their ``sig``, a < b; ``sets`` is read several times.
+def _marked(rows: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of fixed size, a byte for eight bits, of the names in ``rows.sig``."""
+    i = F.pmod("sig", F.lit(bits)) + 1
+    got = rows.groupBy(F.bitmap_bucket_number(i).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(i)).alias("part"))
+    out = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for r in got.collect():  # bits / 32768 rows at most
+        out[r.block - 1] = np.frombuffer(bytes(r.part), np.uint8)
+    return out.reshape(-1)
 
-    Common shingles of the groups in which a pair meets add up to a lower bound; pairs that it does not
-    decide are compared in full.
-    """
-    total = int(sets.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n)
-    rank, cells = rarity(sets, total), cells_for(total, groups, region)
-    label = _labels(sets.sparkSession, groups * cells)
-    parts = sets.mapInArrow(_emitter(rank, groups, cells, t, label), "region bigint, sig bigint, size int, part binary").repartition(groups * cells, F.col("region"))
-    near = parts.groupBy("region").applyInArrow(_joiner(t, cells, label), _FOUND)
-    near = checkpointed(near.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("size").alias("size")))
-    enough = F.col("common") >= F.ceil(F.col("size") * (t / (1 + t)) - 1e-9)
-    sure, open_ = near.where(enough).select("a", "b"), near.where(~enough)
-    asked = open_.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    if open_.count() <= BROADCAST:
-        asked = F.broadcast(asked)  # two numbers a pair
-    full = sets.select("sig", "hashes").join(asked, "sig", "left_semi").dropDuplicates(["sig"])
-    seen = open_.join(full.select(F.col("sig").alias("a"), F.col("hashes").alias("ha")), "a").join(full.select(F.col("sig").alias("b"), F.col("hashes").alias("hb")), "b")
-    n = seen.select("a", "b", "size", _exact()("ha", "hb").alias("n")).where(F.col("n") >= F.ceil(F.col("size") * (t / (1 + t)) - 1e-9))
-    return sure.unionByName(n.select("a", "b"))
+
+def _chosen(marks: np.ndarray):
+    """The classes that a bitmap names, once a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            sig = batch.column("sig").to_numpy(zero_copy_only=False)
+            i = sig & (len(marks) * 8 - 1)
+            hit = np.flatnonzero(marks[i >> 3] >> (i & 7).astype(np.uint8) & 1)
+            fresh = [j for j, x in zip(hit.tolist(), sig[hit].tolist()) if not (x in seen or seen.add(x))]
+            yield batch.take(pa.array(fresh, pa.int64()))
+
+    return run
+
+
+def _compared(near: DataFrame, full: DataFrame, t: float) -> DataFrame:
+    """The pairs of ``near`` whose sets have similarity t."""
+    side = lambda c: full.select(F.col("sig").alias(c), F.col("hashes").alias(f"h{c}"), F.col("size").alias(f"n{c}"))
+    both = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("size"), _exact()("ha", "hb").alias("n"))
+    return both.where(F.col("n") >= F.ceil(F.col("size") * (t / (1 + t)) - 1e-9)).select("a", "b")
+
+
+def class_pairs(sets: DataFrame, t: float = THRESHOLD, groups: int = GROUPS, region: int = REGION) -> DataFrame:
+    """(a, b): pairs of classes, by their ``sig``, a < b; ``sets`` is read several times."""
+    spark = sets.sparkSession
+    all_ = sets.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("records")).first()
+    rank, cells = rarity(sets, all_.n), cells_for(all_.n, groups, region)
+    step = math.ceil(groups / int(np.clip(all_.n * BYTES // TURN, 1, min(TURNS, groups))))
+    label = _labels(spark, step * cells)
+    near = []
+    for begin in range(0, groups, step):
+        run = _emitter(rank, groups, cells, t, label, begin, min(groups, begin + step))
+        parts = sets.select("sig", "hashes").mapInArrow(run, "region bigint, part binary").repartition(step * cells, F.col("region"))
+        with passing(spark):
+            near.append(checkpointed(parts.groupBy("region").applyInArrow(_joiner(t), "a bigint, b bigint").distinct()))
+    if len(near) > 1:
+        with passing(spark):
+            near = [checkpointed(reduce(DataFrame.unionByName, near).distinct())]
+    pairs = near[0].count()
+    turns = max(1, math.ceil(pairs / max(TURN_PAIRS, all_.records // 2)))
+    bits = 1 << int(np.clip(pairs // turns * 32, *BITS) - 1).bit_length()
+    got = []
+    for turn in range(turns):
+        mine = near[0].where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn) if turns > 1 else near[0]
+        marks = _marked(mine.select(F.explode(F.array("a", "b")).alias("sig")), bits)
+        full = sets.select("sig", "size", "hashes").mapInArrow(_chosen(marks), "sig bigint, size int, hashes binary").dropDuplicates(["sig"])
+        with passing(spark):
+            got.append(checkpointed(_compared(mine, full, t)))
+    return reduce(DataFrame.unionByName, got)
 
 
 def classes(sets: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +37,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of plans made here are deleted as soon as the plan has run, not when the driver collects its garbage.
+
+    For large steps whose result is checkpointed or collected: nothing reads their shuffles again.
+    """
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+
+
 def kept(spark: SparkSession, source: DataFrame, key: str, make: Callable[[str], None], again: bool = False) -> str:
     """A folder of tables made from ``source`` by ``make(folder)``; made if it is not there or is to be made ``again``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tamiz import session
 from tamiz.llm import boilerplate as bp
 from tamiz.llm import mincut, mixing, neardup, pii, pii_labels, pii_net, tokenizer
 
@@ -177,6 +179,52 @@ def test_emitted_bytes_are_linear(cells):
     assert one < 198 * 6 * min(cells, 198 / 12 / 2 + 2) + 12 * 8 * cells
 
 
+def test_emitted_bytes_do_not_grow_with_regions():
+    rng = np.random.default_rng(9)
+    lines = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 50_000, 200)) for _ in range(400)])
+    batch = neardup._set_rows(pa.array(np.arange(400)), lines, np.arange(400), 3)
+
+    def emitted(cells: int) -> int:
+        run = neardup._emitter(np.zeros(1 << 20, np.uint8), 12, cells, 0.5, np.arange(12 * cells))
+        return sum(c.nbytes for b in run(iter([batch])) for c in b.columns)
+
+    sets = batch.column("hashes").nbytes
+    # the most is a posting of 8 bytes with a part of 28 of its own, for half the shingles; before, half a part's length times the sets
+    assert max(emitted(x) for x in (1, 16, 64, 256)) < 4 * sets
+
+
+def test_turns_find_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TURN", 1)
+    monkeypatch.setattr(neardup, "TURN_PAIRS", 40)
+    texts = _edited(11, 200)
+    sets = neardup.text_sets(spark.createDataFrame(list(texts.items()), "k bigint, body string"), "k", "body", 3).cache()
+    assert rows(neardup.record_pairs(sets, 0.5)) == sorted(_brute(_sets(texts), 0.5))
+
+
+def test_part_of_more_shingles_than_a_place_can_say(spark):
+    df = spark.createDataFrame([(i, " ".join(f"v{x}" for x in range(i, 150_000 + i))) for i in (0, 40_000, 80_000)], "k bigint, body string")
+    sets = neardup.text_sets(df, "k", "body", 3).cache()
+    name = {r.sig: r["class"] for r in neardup.classes(sets).collect()}
+    found = {tuple(sorted((name[a], name[b]))) for a, b in rows(neardup.class_pairs(sets, 0.5, groups=1))}
+    assert found == {(0, 40_000), (40_000, 80_000)}
+
+
+def test_shuffle_files_of_a_turn_are_deleted(spark):
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    files = lambda: {str(p) for f in folders for p in Path(f.getPath()).rglob("shuffle_*.data")}
+    was, before = spark.conf.get(session.CLEANUP, None), files()
+    with session.passing(spark):
+        done = session.checkpointed(spark.range(1000).repartition(3, "id").distinct())
+    assert spark.conf.get(session.CLEANUP, None) == was and done.count() == 1000
+    written = files() - before
+    kept = session.checkpointed(spark.range(1000).repartition(3, "id").distinct())
+    for _ in range(50):
+        time.sleep(0.1)
+        if not (written & files()):
+            break
+    assert not (written & files()) and files() - before - written and kept.count() == 1000
+
+
 def test_keys_that_occur_twice_lose_no_link(spark):
     a, b = "uno dos tres cuatro cinco seis siete ocho", "alfa beta gama delta eps zeta eta teta"
     df = spark.createDataFrame([(1, a), (1, b), (2, b + " iota"), (3, a + " nueve")], "k bigint, body string")
