@@ -214,3 +214,47 @@ def test_skips_read_few_blocks(spark, tmp_path):
     assert rows(ix.advance(posts, skips, t)) == [("b", 8, 14), ("b", 994, 994), ("b", 995, None), ("zz", 1, None)]
     plan = ix.read_postings(posts, "c")._jdf.queryExecution().executedPlan().toString()
     assert "In(term" in plan or "EqualTo(term" in plan
+
+
+def _many(spark, n=3000):
+    """Documents of equal and of different scores, in several blocks, and topics of which some have the same terms."""
+    docs = spark.createDataFrame([(i, " ".join(["a", *(["b"] if i % 3 == 0 else []), *(["c"] * (i % 5)), *(["d"] if i % 700 == 0 else [])])) for i in range(n)], "doc_id bigint, text string")
+    topics = spark.createDataFrame([(f"{k}-{q}", q) for k in range(3) for q in ("a", "b a", "a b", "c c d", "d zz", "b c d", "zz")], "qid string, query string")
+    return docs, stats.postings(stats.occurrences(docs)), rank.query_terms(topics)
+
+
+def test_ranking_by_blocks_is_exact(spark):
+    import numpy as np
+
+    docs, posts, q = _many(spark)
+    tf, terms = {}, {}
+    for r in posts.collect():
+        tf.setdefault(r.term, {})[r.doc_id] = r.tf
+    for r in q.collect():
+        terms.setdefault(r.qid, {})[r.term] = r.qtf
+    size = {}
+    for x in tf.values():
+        for i, n in x.items():
+            size[i] = size.get(i, 0) + n
+    mean, want = np.mean(list(size.values())), []
+    for qid, words in terms.items():
+        s = {}
+        for t, n in sorted(words.items()):
+            df = len(tf.get(t, {}))
+            for i, f in tf.get(t, {}).items():
+                s[i] = s.get(i, 0) + n * math.log(1 + (3000 - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size[i] / mean))
+        want += [(qid, i, at + 1) for at, (i, _) in enumerate(sorted(s.items(), key=lambda x: (-round(x[1], 8), x[0]))[:7])]
+    index = rank.Index(posts, docs)
+    assert rows(rank.bm25(index, q, 7), "qid", "doc_id", "rank") == sorted(want)
+    assert rows(rank.bm25(index, q, 300).where("rank <= 7"), "qid", "doc_id", "rank") == sorted(want)
+    assert rank.bm25(index, q.where("qid = '0-a'"), None).agg(F.max("rank")).first()[0] == 3000
+    all_d = {r.doc_id: (round(r.score, 8), r.doc_id) for r in rank.cosine(index, q.where("qid = '1-d zz'"), None).collect()}
+    assert set(all_d) == {0, 700, 1400, 2100, 2800}
+    best = sorted(all_d.values(), reverse=True)[:2]
+    assert rows(rank.cosine(index, q.where("qid = '1-d zz'"), 2), "rank", "doc_id") == [(i + 1, d) for i, (_, d) in enumerate(best)]
+
+
+def test_ranking_has_no_row_for_each_query_and_document(spark):
+    docs, posts, q = _many(spark, 200)
+    plan = rank.bm25(rank.Index(posts, docs), q)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not any("Aggregate" in line and "doc_id" in line for line in plan.splitlines())
