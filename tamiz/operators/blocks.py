@@ -285,3 +285,26 @@ def best(queries: DataFrame, folder: str, k: int | None, models: list, down: boo
     kind = "docno string" if names else "doc_id bigint"
     kept = 0 if k is None else k * len(models)
     return over(queries, folder, kept, names or kept > FEW, run, f"setting int, rep string, {kind}, score double, rank int")
+
+
+def membership(queries: DataFrame, folder: str) -> DataFrame:
+    """(rep, m1 to m7): how many documents hold just those of a query's at most three terms whose bits (1, 2, 4, in the query's order) are in m's number."""
+
+    def run(files: list[str], q: Queries) -> Iterator[pa.RecordBatch]:
+        count = np.zeros((len(q.rep), 8), np.int64)
+        for block in blocks_of(files):
+            block.only(q.terms)
+            begin, end = block.begin[q.code].tolist(), block.end[q.code].tolist()
+            mark = np.zeros(len(block.docs), np.uint8)
+            for j in range(len(q.rep)):
+                lists = [block.ids[begin[i] : end[i]] for i in range(q.ends[j], q.ends[j + 1])]
+                for bit, x in enumerate(lists):
+                    mark[x] |= 1 << bit
+                for x in lists:  # a document counts with its first list
+                    count[j] += np.bincount(mark[x], minlength=8)
+                    mark[x] = 0
+        count[:, 0] = 0
+        yield pa.record_batch([q.rep, *(pa.array(count[:, i]) for i in range(1, 8))], names=["rep", *(f"m{i}" for i in range(1, 8))])
+
+    got, _ = over(queries, folder, 0, False, run, "rep string, " + ", ".join(f"m{i} bigint" for i in range(1, 8)))
+    return got.groupBy("rep").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(1, 8)])

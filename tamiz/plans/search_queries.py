@@ -57,15 +57,14 @@ def _bool_batch(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d)
     words = _topics(spark, d).select("qid", tx.tokens("query").alias("words"))
     known = boolean.known_queries(words.where(F.size(F.array_distinct("words")) == F.size("words")), index.vocab)
-    t = known.select("qid", F.size("words").alias("size"), F.posexplode("words").alias("i", "term"))
-    has = lambda i: F.max(F.col("i") == i).alias("abc"[i])
-    hits = index.posts.select("term", "doc_id").join(rank.broadcast_if_small(t), "term").groupBy("qid", "size", "doc_id").agg(has(0), has(1), has(2))
-    count = lambda e: F.count_if(F.expr(e))
-    n = hits.groupBy("qid", "size").agg(count("a and b").alias("ab"), F.count(F.lit(1)).alias("any"), count("b").alias("b"), count("a and b and c").alias("abc"), count("(a or b) and not c").alias("or_not"), count("a and b or c").alias("and_or"))
+    t = known.select("qid", F.posexplode("words").alias("i", "term")).withColumn("qtf", F.lit(1).cast("bigint"))
+    of, one = blocks.distinct(t, index.vocab, "i")
+    m = lambda *bits: sum((F.col(f"m{i}") for i in bits[1:]), F.col(f"m{bits[0]}"))
+    n = blocks.told_apart(blocks.membership(one, index.folder), of).join(known.select("qid", F.size("words").alias("size")), "qid")
     total = lx.docs(spark, d).select(F.countDistinct("doc_id")).scalar()
     forms = lambda *f: F.array(*[F.struct(F.lit(k).alias("form"), v.alias("n")) for k, v in f])
-    two = forms(("a AND b", F.col("ab")), ("a OR b", F.col("any")), ("a NOT b", total - F.col("b")))
-    three = forms(("a AND b AND c", F.col("abc")), ("(a OR b) NOT c", F.col("or_not")), ("(a AND b) OR c", F.col("and_or")))
+    two = forms(("a AND b", m(3)), ("a OR b", m(1, 2, 3)), ("a NOT b", total - m(2, 3)))
+    three = forms(("a AND b AND c", m(7)), ("(a OR b) NOT c", m(1, 2, 3)), ("(a AND b) OR c", m(3, 4, 5, 6, 7)))
     return n.select("qid", F.inline(F.when(F.col("size") == 2, two).otherwise(three)))
 
 

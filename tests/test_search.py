@@ -9,7 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tamiz.operators import boolean, evaluate, graph, langid, laws, rank, stats
+from tamiz.operators import blocks, boolean, evaluate, graph, langid, laws, rank, stats
 from tamiz.operators import index as ix
 
 DOCS = {0: "a b", 1: "a", 2: "b c", 3: "c", 4: ""}
@@ -258,3 +258,18 @@ def test_ranking_has_no_row_for_each_query_and_document(spark):
     docs, posts, q = _many(spark, 200)
     plan = rank.bm25(rank.Index(posts, docs), q)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and not any("Aggregate" in line and "doc_id" in line for line in plan.splitlines())
+
+
+def test_boolean_batch_counts_in_blocks(spark):
+    docs, posts, _ = _many(spark)
+    asked = {"x": ("b", "c"), "y": ("c", "b"), "z": ("d", "c", "b"), "again": ("b", "c")}
+    q = spark.createDataFrame([(k, i, t, 1) for k, words in asked.items() for i, t in enumerate(words)], "qid string, i int, term string, qtf bigint")
+    has = {t: {r.doc_id for r in posts.where(F.col("term") == t).collect()} for t in "bcd"}
+    want = []
+    for k, words in asked.items():
+        bits = [sum(1 << b for b, t in enumerate(words) if i in has[t]) for i in range(3000)]
+        want.append((k, *(bits.count(m) for m in range(1, 8))))
+    index = rank.Index(posts, docs)
+    of, one = blocks.distinct(q, index.vocab, "i")
+    got = blocks.told_apart(blocks.membership(one, index.folder), of)
+    assert one.count() == 3 and rows(got, "qid", *(f"m{i}" for i in range(1, 8))) == sorted(want)
