@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tamiz.functions import codec
 from tamiz.functions import text as tx
 from tamiz.operators import blocks, skew, stats
-from tamiz.session import checkpointed, kept
+from tamiz.session import checkpointed, kept, passing
 
 _SPAN = 65536
 
@@ -31,19 +31,20 @@ def build(docs: DataFrame, folder: str, pattern: str = tx.LETTERS) -> None:
     documents for ranking (:mod:`tamiz.operators.blocks`); compressed: the lists in the codecs of
     :mod:`tamiz.functions.codec`; totals: one row, written last, which marks the index as complete.
     """
-    posts = checkpointed(stats.postings(stats.occurrences(docs, pattern)))
-    stats.vocabulary(posts).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/vocab")
-    vocab, lengths = docs.sparkSession.read.parquet(f"{folder}/vocab"), stats.document_lengths(posts)
-    n = docs.count()
-    write_index(_blocked(posts, vocab).join(lengths, "doc_id"), f"{folder}/postings")
-    done = docs.sparkSession.read.parquet(f"{folder}/postings")
-    norms(done, vocab, n).write.mode("overwrite").parquet(f"{folder}/docs")
-    blocks.write(done, docs.sparkSession.read.parquet(f"{folder}/docs").withColumn("name", F.lit(None)), f"{folder}/blocks", n)
-    skips = done.groupBy("term", "block").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    skips.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{folder}/skips")
-    codec.compressed(done.select("term", "doc_id", "tf")).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{folder}/compressed")
-    t = vocab.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("n_tokens"), F.count(F.lit(1)).alias("n_terms"))
-    t.select(F.lit(n).cast("bigint").alias("n_docs"), "n_tokens", "n_terms", F.lit(lengths.count()).cast("bigint").alias("n_full")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
+    with passing(docs.sparkSession):  # the shuffle files of a table go when it is written
+        posts = checkpointed(stats.postings(stats.occurrences(docs, pattern)))
+        stats.vocabulary(posts).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/vocab")
+        vocab, lengths = docs.sparkSession.read.parquet(f"{folder}/vocab"), stats.document_lengths(posts)
+        n = docs.count()
+        write_index(_blocked(posts, vocab).join(lengths, "doc_id"), f"{folder}/postings")
+        done = docs.sparkSession.read.parquet(f"{folder}/postings")
+        norms(done, vocab, n).write.mode("overwrite").parquet(f"{folder}/docs")
+        blocks.write(done, docs.sparkSession.read.parquet(f"{folder}/docs").withColumn("name", F.lit(None)), f"{folder}/blocks", n)
+        skips = done.groupBy("term", "block").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+        skips.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{folder}/skips")
+        codec.compressed(done.select("term", "doc_id", "tf")).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{folder}/compressed")
+        t = vocab.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("n_tokens"), F.count(F.lit(1)).alias("n_terms"))
+        t.select(F.lit(n).cast("bigint").alias("n_docs"), "n_tokens", "n_terms", F.lit(lengths.count()).cast("bigint").alias("n_full")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals")
 
 
 def norms(posts: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:

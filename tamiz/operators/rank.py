@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tamiz.functions import text as tx
 from tamiz.operators import blocks, stats
 from tamiz.operators import index as ix
-from tamiz.session import broadcast_if_small  # noqa: F401  (for the plans)
+from tamiz.session import broadcast_if_small, checkpointed, passing  # noqa: F401  (the first for the plans)
 
 
 class Index:
@@ -23,14 +23,17 @@ class Index:
     """
 
     def __init__(self, posts: DataFrame, docs: DataFrame, names: DataFrame | None = None):
-        self.vocab = stats.vocabulary(posts)
-        lengths = stats.document_lengths(posts)
+        spark = posts.sparkSession
+        self.folder = blocks.scratch(spark)
+        with passing(spark):
+            lengths = checkpointed(stats.document_lengths(posts))
+            self.vocab = checkpointed(stats.vocabulary(posts))
         t = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("t")).first()
         self._totals(docs.count(), t.t, t.n)
-        self.folder = blocks.scratch(posts.sparkSession)
-        full = ix.norms(posts.join(lengths, "doc_id"), self.vocab, max(self.n_docs, 1))
-        full = full.withColumn("name", F.lit(None)) if names is None else full.join(names.withColumnRenamed("docno", "name"), "doc_id", "left")
-        blocks.write(posts, full, self.folder, t.n)
+        with passing(spark):
+            full = checkpointed(ix.norms(posts.join(lengths, "doc_id"), self.vocab, max(self.n_docs, 1)))
+            full = full.withColumn("name", F.lit(None)) if names is None else full.join(names.withColumnRenamed("docno", "name"), "doc_id", "left")
+            blocks.write(posts, full, self.folder, t.n)
 
     @classmethod
     def stored(cls, spark: SparkSession, folder: str) -> "Index":
