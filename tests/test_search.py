@@ -273,3 +273,11 @@ def test_boolean_batch_counts_in_blocks(spark):
     of, one = blocks.distinct(q, index.vocab, "i")
     got = blocks.told_apart(blocks.membership(one, index.folder), of)
     assert one.count() == 3 and rows(got, "qid", *(f"m{i}" for i in range(1, 8))) == sorted(want)
+
+
+def test_metrics_of_judged_results_alone(spark):
+    run = spark.createDataFrame([(q, f"d{i}", i, "m") for q in "12" for i in range(1, 31)], "qid string, docno string, rank int, model string")
+    qrels = spark.createDataFrame([("1", f"d{i}", i % 4) for i in range(2, 40, 5)] + [("3", "d1", 1)], "qid string, docno string, label int")
+    few = run.join(qrels.where("label != 0"), ["qid", "docno"], "left_semi")
+    n = run.groupBy("model", "qid").agg(F.count(F.lit(1)).alias("retrieved"))
+    assert few.count() < 8 and rows(evaluate.metrics(few, qrels, ["model"], n)) == rows(evaluate.metrics(run, qrels, ["model"]))
